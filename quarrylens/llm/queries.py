@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import parse_check
+from quarrylens.llm import language, parse_check
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": language.found,
+        "p1_shares": language.shares,
         "p7_found": parse_check.found,
         "p7_rates": parse_check.rates,
     }
