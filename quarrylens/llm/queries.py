@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import language, parse_check
+from quarrylens.llm import encode, language, packing, parse_check
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_shares": language.shares,
         "p7_found": parse_check.found,
         "p7_rates": parse_check.rates,
+        "p8_ids": encode.ids,
+        "p9_containers": packing.containers,
     }
 
 
