@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 OUT_ROWS = 4096
 
 
-def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | StructType) -> DataFrame:
+def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | StructType, out_rows: int = OUT_ROWS) -> DataFrame:
     """Each row becomes any number of rows.
 
     `make` is called once a task and returns the row function, so models and
@@ -39,7 +39,7 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                 part = b.slice(lo, step)
                 for row in zip(*(c.to_pylist() for c in part.columns)):
                     out.extend(fn(*row))
-                    if len(out) >= OUT_ROWS:
+                    if len(out) >= out_rows:
                         yield batch()
                         out.clear()
         if out:
