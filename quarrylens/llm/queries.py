@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import encode, language, packing, parse_check
+from quarrylens.llm import encode, language, packing, parse_check, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_rates": parse_check.rates,
         "p8_ids": encode.ids,
         "p9_containers": packing.containers,
+        "p10_found": truncation.found,
+        "p10_rates": truncation.rates,
     }
 
 
