@@ -122,7 +122,7 @@ def baselines(docs: DataFrame) -> DataFrame:
     return per.groupBy("source").agg(F.max("len").alias("longest"), top.alias("top"), F.sum("many").alias("many"), F.sum("titles").alias("titles")).select(
         "source", "longest",
         F.when((F.col("top.ellipsis") * 2 > F.col("top.n")) & (F.col("top.n") > 1), "ellipsis").when((F.col("top.dots") * 2 > F.col("top.n")) & (F.col("top.n") > 1), "dots").alias("mark"),
-        (F.coalesce(F.col("titles") / F.col("many"), F.lit(0.0)) >= TITLES).alias("titled"))
+        ((F.col("many") > 0) & (F.col("titles") >= TITLES * F.col("many"))).alias("titled"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
