@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import encode, language, packing, parse_check, truncation
+from quarrylens.llm import encode, language, packing, parse_check, provenance, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": language.found,
         "p1_shares": language.shares,
+        "p3_found": provenance.found,
+        "p3_hand_written": provenance.hand_written,
         "p7_found": parse_check.found,
         "p7_rates": parse_check.rates,
         "p8_ids": encode.ids,
