@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import encode, language, packing, pairs, parse_check, provenance, truncation
+from quarrylens.llm import encode, language, licenses, packing, pairs, parse_check, provenance, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_shares": language.shares,
         "p3_found": provenance.found,
         "p3_hand_written": provenance.hand_written,
+        "p4_found": licenses.found,
+        "p4_evidence": licenses.evidence,
         "p5_found": pairs.found,
         "p5_pairs": pairs.pairs,
         "p7_found": parse_check.found,
