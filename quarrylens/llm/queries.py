@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import encode, language, licenses, packing, pairs, parse_check, provenance, truncation
+from quarrylens.llm import credentials, encode, language, licenses, packing, pairs, parse_check, provenance, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_evidence": licenses.evidence,
         "p5_found": pairs.found,
         "p5_pairs": pairs.pairs,
+        "p6_found": credentials.found,
+        "p6_redacted": credentials.redacted,
         "p7_found": parse_check.found,
         "p7_rates": parse_check.rates,
         "p8_ids": encode.ids,
