@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylens.operators import skew
-from quarrylens.plans import reports
+from quarrylens.operators import lines, skew
+from quarrylens.plans import relational, reports
 
-_MODULES = (reports, skew)
+_MODULES = (reports, skew, lines, relational)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
