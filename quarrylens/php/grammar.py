@@ -93,7 +93,7 @@ class _Span:
                 i = end + 1
             else:
                 i = self.type_atom(i)
-            if k[i] == "|" or (k[i] == "&" and k[i + 1] not in ("var", "...", "&")):
+            if k[i] == "|" or (k[i] == "&" and k[i + 1] not in ("variable", "...", "&")):
                 i += 1
             else:
                 return i
@@ -111,13 +111,13 @@ class _Span:
             i += 1
             if k[i] == "(" and k[i + 1] == "id":  # private(set)
                 i = self.m[i] + 1
-        if k[i] not in ("var", "&", "..."):
+        if k[i] not in ("variable", "&", "..."):
             i = self.type(i)
         if k[i] == "&":
             i += 1
         if k[i] == "...":
             i += 1
-        i = self.need(i, "var")
+        i = self.need(i, "variable")
         if k[i] == "=":
             i = self.expr(i + 1)
         if k[i] == "{":
@@ -199,7 +199,7 @@ class _Span:
     def unary(self, i: int) -> int:
         k = self.k
         while k[i] in ("!", "~", "@", "+", "-", "cast", "&", "print", "clone"):
-            if k[i] == "&" and k[i + 1] not in ("var", "new", "id", "qid", "$", "static"):
+            if k[i] == "&" and k[i + 1] not in ("variable", "new", "id", "qid", "$", "static"):
                 raise Bad(i, "did not expect & here")
             i += 1
         t = k[i]
@@ -277,7 +277,7 @@ class _Span:
                 return i
 
     def writable(self, i: int) -> int:
-        if self.k[i] not in ("var", "$", "id", "qid", "static", "(", "enum"):
+        if self.k[i] not in ("variable", "$", "id", "qid", "static", "(", "enum"):
             raise Bad(i, f"expected a variable, saw {self.k[i]}")
         return self.primary(i)
 
@@ -300,7 +300,7 @@ class _Span:
         if not arrow and k[i] == "use":
             if k[i + 1] != "(":
                 raise Bad(i + 1, "expected (")
-            i = self.group(i + 1, lambda j: self.need(j + 1 if k[j] == "&" else j, "var"))
+            i = self.group(i + 1, lambda j: self.need(j + 1 if k[j] == "&" else j, "variable"))
         if k[i] == ":":
             i = self.type(i + 1)
         if arrow:
@@ -338,7 +338,7 @@ class _Span:
     def primary(self, i: int) -> int:
         k = self.k
         t = k[i]
-        if t in ("var", "num", "str", "dq", "heredoc", "id", "qid"):
+        if t in ("variable", "num", "str", "dq", "heredoc", "id", "qid"):
             return self.postfix(i + 1)
         if t == "(":
             end = self.m[i]
@@ -364,7 +364,7 @@ class _Span:
                 if self.expr(i + 1) != end:
                     raise Bad(end, "did not expect this here")
                 return self.postfix(end + 1)
-            return self.postfix(self.need(i, "var"))
+            return self.postfix(self.need(i, "variable"))
         if t in ("isset", "unset") and k[i + 1] == "(":
             return self.group(i + 1, self.expr, empty=False)
         if t in ("empty", "eval") and k[i + 1] == "(":
@@ -395,17 +395,17 @@ class _Span:
             return self.postfix(self.m[j] + 1)
         if k[i] in ("id", "qid", "static", "enum"):
             i += 1
-            while k[i] == "::" and k[i + 1] == "var":
+            while k[i] == "::" and k[i + 1] == "variable":
                 i += 2
         elif k[i] == "(":
             end = self.m[i]
             if self.expr(i + 1) != end:
                 raise Bad(end, "did not expect this here")
             i = end + 1
-        elif k[i] in ("var", "$"):
-            i = i + 1 if k[i] == "var" else self.need(i + 1, "var")
+        elif k[i] in ("variable", "$"):
+            i = i + 1 if k[i] == "variable" else self.need(i + 1, "variable")
             while True:
-                if k[i] in ("->", "?->", "::") and k[i + 1] in _NAMES | {"var"}:
+                if k[i] in ("->", "?->", "::") and k[i + 1] in _NAMES | {"variable"}:
                     i += 2
                 elif k[i] == "[":
                     end = self.m[i]
@@ -458,10 +458,10 @@ class _Span:
                 i += 1
                 if k[i] == "{":
                     i = self.member_name(i)
-                elif k[i] in _NAMES or k[i] == "var":
+                elif k[i] in _NAMES or k[i] == "variable":
                     i += 1
                 elif k[i] == "$":
-                    i = self.need(i + 1, "var")
+                    i = self.need(i + 1, "variable")
                 else:
                     raise Bad(i, f"did not expect {k[i]} here")
             else:
@@ -469,7 +469,7 @@ class _Span:
 
     def member_name(self, i: int) -> int:
         k = self.k
-        if k[i] in _NAMES or k[i] == "var":
+        if k[i] in _NAMES or k[i] == "variable":
             return i + 1
         if k[i] == "{":
             end = self.m[i]
@@ -477,7 +477,7 @@ class _Span:
                 raise Bad(end, "did not expect this here")
             return end + 1
         if k[i] == "$":
-            return self.need(i + 1, "var")
+            return self.need(i + 1, "variable")
         raise Bad(i, f"did not expect {k[i]} here")
 
     # -- statements
@@ -518,6 +518,8 @@ class _Span:
         k = self.k
         t = k[i]
         known = _COMPOUND.get(t)
+        if t == "id" and k[i + 1] == ":":  # a label
+            return i + 2
         if known is None or (t in ("static", "enum", "readonly", "match", "function", "fn", "list", "array") and not self.declares(i)):
             return self.simple(i)
         return known(self, i)
@@ -525,7 +527,7 @@ class _Span:
     def declares(self, i: int) -> bool:
         k, t, n = self.k, self.k[i], self.k[i + 1]
         if t == "static":
-            return n == "var" and k[i + 2] in ("=", ",", ";", "close")
+            return n == "variable" and k[i + 2] in ("=", ",", ";", "close")
         if t == "function":
             return n in _NAMES and k[i + 2] == "(" or n == "&" and k[i + 2] in _NAMES
         if t == "enum":
@@ -585,7 +587,7 @@ class _Span:
         while True:
             while self.k[i] == "$":
                 i += 1
-            i = self.need(i, "var")
+            i = self.need(i, "variable")
             if values and self.k[i] == "=":
                 i = self.expr(i + 1)
             if self.k[i] != ",":
@@ -699,7 +701,7 @@ class _Span:
             j = self.name(i + 2)
             while k[j] == "|":
                 j = self.name(j + 1)
-            if k[j] == "var":
+            if k[j] == "variable":
                 j += 1
             if j != end or k[end + 1] != "{":
                 raise Bad(j, f"did not expect {k[j]} here")
@@ -864,10 +866,10 @@ class _Span:
             return self.need(i, ";")
         if i == first:
             raise Bad(i, f"did not expect {k[i]} here")
-        if k[i] != "var":
+        if k[i] != "variable":
             i = self.type(i)
         while True:
-            i = self.need(i, "var")
+            i = self.need(i, "variable")
             if k[i] == "=":
                 i = self.expr(i + 1)
             if k[i] == "{":
@@ -969,9 +971,6 @@ def first_error(text: str, toks: list[tuple[str, int, int]] | None = None) -> tu
         return 0, "no opening tag"
     if kinds[-1] == "bad":
         return code[-1][1], "not a token"
-    for i, t in enumerate(kinds):
-        if t == "id" and text[code[i][1] : code[i][2]].isascii() is False:
-            pass
     kinds.append("eof")
     code.append(("eof", len(text), len(text)))
     try:

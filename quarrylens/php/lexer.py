@@ -24,7 +24,7 @@ _ID = r"[A-Za-z_\x80-\U0010ffff][0-9A-Za-z_\x80-\U0010ffff]*"
 _LINE = r"[^\r\n?]*(?:\?(?!>)[^\r\n?]*)*"
 _PHP = re.compile(
     rf"""(?P<ws>[ \t\r\n]+)
-|(?P<var>\${_ID})
+|(?P<variable>\${_ID})
 |(?P<qid>(?:namespace)?\\{_ID}(?:\\{_ID})*|{_ID}(?:\\{_ID})+)
 |(?P<word>{_ID})
 |(?P<doc>/\*\*(?=[ \t\r\n])[^*]*(?:\*(?!/)[^*]*)*\*/)
