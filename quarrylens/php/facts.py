@@ -103,13 +103,14 @@ class _File:
                 self.add("ref_class", i, w, self.resolve(i, w), extra="type")
 
     def walk(self) -> None:
-        guards = False
         for x in self.nodes:
             i, kind, name, value, extra = x[0], x[4], x[6], x[7], x[8]
             if kind in _CLASSLIKE:
                 key = self.class_key(i)
                 heirs = [(self.nodes[k][2], self.resolve(k, self.nodes[k][6])) for k in self.kids[i] if self.nodes[k][2] in ("extends", "implements", "uses")]
                 self.add("decl_class", i, name, key, flags=extra, extra=kind.lower())
+                if kind == "Enum":
+                    self.enum_values(i)
                 for n, (role, target) in enumerate(heirs):
                     self.add("edge", i, role, key, target, low=n, extra=kind.lower())
                     self.add("ref_class", i, target, target, extra=role)
@@ -163,7 +164,6 @@ class _File:
                 full = low if name.startswith("\\") else (self.aliases[self.ns[i], "function"].get(low) or f"{self.space(i)}\\{name}").strip("\\").lower()
                 self.add("call", i, name, full, low, n, flags="unknown" if unknown else None)
                 if low in ("class_exists", "interface_exists", "function_exists", "method_exists", "defined"):
-                    guards = True
                     for k in self.kids[i]:
                         for v in self.kids[k]:
                             if self.nodes[v][4] in ("StringLiteral", "String"):
@@ -196,8 +196,6 @@ class _File:
                     self.add("this_property", i, name, name.lower(), self.class_key(self.cls[i]))
             elif kind == "Array":
                 self.duplicate_keys(i)
-            elif kind == "Enum":
-                self.enum_values(i)
             elif kind in ("If", "ElseIf", "While", "DoWhile"):
                 for k in self.kids[i]:
                     if self.nodes[k][2] == "condition":
@@ -208,8 +206,6 @@ class _File:
                 kid = self.nodes[self.kids[i][0]] if self.kids[i] else None
                 if kid and kid[4] in ("Integer", "StringLiteral", "FunctionCall", "MethodCall"):
                     self.issue("PHPStan.Level0.Language", i, f"{extra} on something that is no variable")
-        if guards:
-            pass
         self.gotos()
         self.unreachable()
         self.variables()
@@ -237,7 +233,7 @@ class _File:
                     seen.add(v)
 
     def enum_values(self, i: int) -> None:
-        """Cases that share a value; A case of a backed enum needs one."""
+        """Cases that share a value; a case of a backed enum needs one."""
         by = defaultdict(list)
         for k in self.kids[i]:
             if self.nodes[k][4] == "EnumCase":

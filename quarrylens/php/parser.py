@@ -799,9 +799,9 @@ _STATEMENTS = {
 }
 
 
-def parse(text: str, bodies: bool = True) -> tuple[list[Node], tuple[int, str] | None, Tree | None]:
+def parse(text: str, bodies: bool = True, toks: list | None = None) -> tuple[list[Node], tuple[int, str] | None, Tree | None]:
     """(nodes in order, first error or None, the tree)."""
-    toks = tokens(text)
+    toks = tokens(text) if toks is None else toks
     error = first_error(text, toks)
     if error:
         return [], error, None

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylens.operators import level0, lines, php_tables, skew
-from quarrylens.plans import relational, reports
+from quarrylens.operators import level0, lines, php_tables, skew, style
+from quarrylens.plans import fixtures, relational, reports
 
-_MODULES = (reports, skew, lines, relational, php_tables, level0)
+_MODULES = (reports, skew, lines, relational, php_tables, level0, style, fixtures)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
