@@ -185,9 +185,18 @@ def instantiation(x: Index) -> DataFrame:
     return _issue(bad, MODEL, F.concat(F.lit("No instance can be made of "), "name"))
 
 
-RULES = {f.__name__: f for f in (unknown_classes, unknown_functions, function_arguments, this_calls, static_members, this_properties, duplicates, heritage, final_overrides, required_methods, instantiation)}
+def subtypes(x: Index) -> DataFrame:
+    """Values of a class where another is declared, with no path between them; open hierarchies are let pass."""
+    t = x.rows.where("kind = 'subtype'")
+    t = t.join(x.open_classes().withColumnRenamed("cls", "key"), "key", "left_anti").join(x.classes.select("key"), "key", "left_semi")
+    t = t.withColumn("ancestor", F.explode(F.split("alt", r"\|"))).join(x.lineage.withColumnRenamed("node", "key"), ["key", "ancestor"], "left")
+    g = t.groupBy("file_id", "path", "line", "col", "name", "extra").agg(F.count("depth").alias("paths")).where("paths = 0")
+    return g.select("file_id", F.col("path").alias("filename"), "line", "col", F.lit("ERROR").alias("type"), F.lit(False).alias("fixable"), F.col("name").alias("message"), F.col("extra").alias("code"))
+
+
+RULES = {f.__name__: f for f in (unknown_classes, unknown_functions, function_arguments, this_calls, static_members, this_properties, duplicates, heritage, final_overrides, required_methods, instantiation, subtypes)}
 #: Level of each group of codes (F3): local rules run at every level.
-LEVEL = {SYMBOLS: 0, MODEL: 0, INVOCATION: 0, "Generic.CodeAnalysis.UnreachableCode": 4}
+LEVEL = {SYMBOLS: 0, MODEL: 0, INVOCATION: 0, "A.PROP.TYPE": 3, "A.RETURN.TYPE": 3, "Generic.CodeAnalysis.UnreachableCode": 4, "A.ARG.TYPE": 5}
 
 
 def analyse(files: DataFrame, level: int | None = None, disabled: tuple[str, ...] = (), rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:

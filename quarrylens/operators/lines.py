@@ -66,11 +66,11 @@ def space_before_semicolon(all_lines: DataFrame) -> DataFrame:
 
 
 def blank_line_after_open(all_lines: DataFrame) -> DataFrame:
-    """The first line that is exactly the open tag must be followed by a blank line."""
+    """The line after the first line that is exactly the open tag must be empty."""
     w = W.partitionBy("file_id").orderBy("line_no")
-    seen = all_lines.withColumn("next", F.lead("text").over(w)).where(F.rtrim(F.regexp_replace("text", r"\s+\z", "")) == "<?php")
-    first = seen.groupBy("file_id").agg(F.min("line_no").alias("line_no"), F.min_by(F.coalesce("next", F.lit("\0")), "line_no").alias("next"))
-    return issue(first.where((F.col("next") != "\0") & (F.regexp_replace("next", r"\s+", "") != "")), "PSR12.Files.MissingBlankLineAfterPHPOpeningTag", "Missing blank line after open tag")
+    seen = all_lines.withColumn("next", F.lead("text").over(w)).where("text = '<?php'")
+    first = seen.groupBy("file_id").agg((F.min("line_no") + 1).alias("line_no"), F.min_by(F.coalesce("next", F.lit("")), "line_no").alias("next"))
+    return issue(first.where(F.col("next") != ""), "PSR12.Files.MissingBlankLineAfterPHPOpeningTag", "Missing blank line after open tag", fixable=True)
 
 
 def class_brace(all_lines: DataFrame) -> DataFrame:
@@ -163,14 +163,14 @@ ORACLE = {
     "style_native": f"""WITH {_LINES}, x AS (SELECT * FROM l WHERE regexp_matches(lower(path), '\\.(php|inc|phtml)$')),
 w AS (SELECT *, {_T} AS t, lead(text) OVER (PARTITION BY file_id ORDER BY line_no) AS nxt FROM x),
 b AS (SELECT *, lead(t) OVER (PARTITION BY file_id ORDER BY line_no) AS nt FROM w),
-o AS (SELECT * FROM w WHERE regexp_replace(text, '\\s+$', '') = '<?php' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line_no) = 1),
+o AS (SELECT * FROM w WHERE text = '<?php' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line_no) = 1),
 i AS (
 SELECT file_id, 0 AS line, 1 AS col, TRUE AS fixable, 'File must end with a newline' AS message, 'PSR12.Files.EndFileNewline' AS code FROM c
   WHERE regexp_matches(lower(path), '\\.(php|inc|phtml)$') AND (content = '' OR right(content, 1) <> chr(10))
 UNION ALL SELECT file_id, line_no, octet_length(encode(text)), TRUE, 'Trailing whitespace', 'PSR12.Files.EndFileNoTrailingWhitespace' FROM x WHERE right(text, 1) IN (' ', chr(9))
 UNION ALL SELECT file_id, line_no, 1, FALSE, 'Space before semicolon', 'PSR12.Files.NoSpaceBeforeSemicolon' FROM
   (SELECT file_id, line_no, unnest(regexp_extract_all(text, '[ \\t];')) FROM x WHERE NOT regexp_matches(text, '^[ \\t]*(//|#)'))
-UNION ALL SELECT file_id, line_no, 1, FALSE, 'Missing blank line after open tag', 'PSR12.Files.MissingBlankLineAfterPHPOpeningTag' FROM o WHERE nxt IS NOT NULL AND regexp_replace(nxt, '\\s+', '', 'g') <> ''
+UNION ALL SELECT file_id, line_no + 1, 1, TRUE, 'Missing blank line after open tag', 'PSR12.Files.MissingBlankLineAfterPHPOpeningTag' FROM o WHERE nxt <> ''
 UNION ALL SELECT file_id, CASE WHEN contains(t, '{{') THEN line_no ELSE line_no + 1 END, 1, TRUE, 'Opening brace of a class must be on its own line', 'PSR12.Classes.OpenBraceOnOwnLine'
   FROM b WHERE regexp_matches(t, '^(class|interface|trait|enum) ') AND (contains(t, '{{') OR (nt IS NOT NULL AND nt <> '{{'))
 UNION ALL SELECT file_id, line_no, strpos(text, regexp_extract(text, '\\belse[ \\t]+if\\b')), TRUE, 'Use elseif', 'PSR12.ControlStructures.ElseIfDeclaration'

@@ -10,7 +10,9 @@ from collections import defaultdict
 
 from quarrylens.functions.types import BUILTINS
 from quarrylens.php.builtins import SUPERGLOBALS
+from quarrylens.php.flow import Flow, empty_statements
 from quarrylens.php.parser import locate
+from quarrylens.php.style import mask
 
 SCHEMA = ("file_id long, path string, kind string, cls string, fn string, name string, key string, alt string, line int, col int, "
           "low int, high int, flags string, extra string")
@@ -210,6 +212,7 @@ class _File:
         self.unreachable()
         self.variables()
         self.side_effects()
+        Flow(self).run()
 
     def printf(self, i: int, n: int) -> None:
         """Placeholders against arguments."""
@@ -379,4 +382,6 @@ def facts(file_id: int, path: str, text: str, nodes: list) -> list[tuple]:
     """Rows of SCHEMA for one file."""
     f = _File(file_id, path, text, nodes)
     f.walk()
+    for line, col, message in empty_statements(mask(text)):
+        f.out.append((file_id, path, "issue", None, None, message, "Generic.CodeAnalysis.EmptyStatement", None, line, col, None, None, None, None))
     return f.out

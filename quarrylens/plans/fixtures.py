@@ -71,6 +71,27 @@ class UsesT { use T; public function x() { return $this->t(); } }
 class Needs extends Base { public function area(int $scale) { return 1; } }
 $s = new Base();
 $t = new Suit();
+""",
+    "t.php": """<?php
+namespace Ty;
+interface Animal {}
+class Dog implements Animal {}
+class Stone {}
+class Keeper
+{
+    private int $n = 0;
+    private Animal $pet;
+    public function a(): array { return $this; }
+    public function b(): void { return 1; }
+    public function c(): ?int { return; }
+    public function d(int $x): string { $y = $x; return $y; }
+    public function e(): float { return 1; }
+    public function f(): Animal { return new Dog(); }
+    public function g(): Animal { return new Stone(); }
+    public function h() { $this->n = 'x'; $this->pet = new Dog(); $this->take([], 'ok', more: 2); }
+    private function take(int $i, string $s, bool $more = false) {}
+    public function k($v) { if ($v); ; return $v; }
+}
 """,
     "broken.php": "<?php class X { public funtion y() {} }\n",
 }
@@ -96,6 +117,16 @@ LEVEL0 = [
     ('b.php', 22, 'PHPStan.Level0.Language', 'No label nowhere'),
     ('b.php', 23, 'PHPStan.Level0.Invocation', '2 placeholders but 1 values'),
     ('b.php', 24, 'PHPStan.Level0.Symbols', 'Class Shape2 is not known (new)'),
+    ('t.php', 10, 'A.RETURN.TYPE', 'Return: ty\\keeper does not fit array'),
+    ('t.php', 11, 'A.RETURN.TYPE', 'A value is returned where void is declared'),
+    ('t.php', 12, 'A.RETURN.TYPE', 'Return without a value does not fit int|null'),
+    ('t.php', 13, 'A.RETURN.TYPE', 'Return: int does not fit string'),
+    ('t.php', 16, 'A.RETURN.TYPE', 'Return: ty\\stone does not fit ty\\animal'),
+    ('t.php', 17, 'A.PROP.TYPE', 'Property n: string does not fit int'),
+    ('t.php', 17, 'A.ARG.TYPE', 'Argument $i: array does not fit int'),
+    ('t.php', 17, 'A.ARG.TYPE', 'Argument $more: int does not fit bool'),
+    ('t.php', 19, 'Generic.CodeAnalysis.EmptyStatement', 'Empty body of if'),
+    ('t.php', 19, 'Generic.CodeAnalysis.EmptyStatement', 'Empty statement'),
     ('c.php', 3, 'PHPStan.Level0.ClassModel', 'Class Square is declared before'),
     ('c.php', 4, 'PHPStan.Level0.ClassModel', "Case C and the enum's backing do not agree"),
     ('c.php', 4, 'PHPStan.Level0.ClassModel', 'Value a belongs to several cases'),
@@ -159,5 +190,5 @@ QUERIES = {f.__name__: f for f in (php_level0_fixture, php_style_fixture, php_co
 ORACLE = {
     "php_level0_fixture": _values(LEVEL0, "filename, line, code, message"),
     "php_style_fixture": _values(STYLE, "line, col, code"),
-    "php_compat_fixture": _values([("a.php", None), ("b.php", None), ("c.php", None), ("broken.php", 1)], "path, error_line"),
+    "php_compat_fixture": _values([("a.php", None), ("b.php", None), ("c.php", None), ("t.php", None), ("broken.php", 1)], "path, error_line"),
 }
