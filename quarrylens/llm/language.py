@@ -44,7 +44,7 @@ _CJK = r"぀-ヿ㐀-䶿一-鿿ｦ-ﾟ"
 _WORD = re.compile(rf"[{_CJK}々ー]+|[^\W\d_]+", re.U)
 _TOKEN = re.compile(rf"[{_CJK}々ー]+|[^\W\d_]+|\$|->|::|=>|==|[;{{}}()\[\]=<>|&\\/_]", re.U)
 _CAMEL = re.compile(r"(?<=[a-zß-ÿ0-9])(?=[A-ZÀ-Þ])")
-_CODEISH = re.compile(r"[$\\_=<>{}\[\]|*#@~^]|->|::|\(\)|\w\(|\w/\w|\w\.\w|\d")
+_CODEISH = re.compile(r"[$\\_=<>{}\[\]|*#@~^]|->|::|\(\)|\w\(|\w/\w|\w\.\w|\w:\w|\d")
 _INLINE = re.compile(r"\{@[^}]*\}|`[^`]*`|<[^<>]*>|https?://\S+")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _SQL = re.compile(r"^\s*(?:SELECT\b.*\bFROM\b|INSERT\s+INTO\b|UPDATE\b.*\bSET\b|DELETE\s+FROM\b|(?:CREATE|ALTER|DROP)\s+(?:TABLE|USER|INDEX|VIEW|DATABASE|ROLE)\b|GRANT\b.*\bTO\b|WITH\b.*\bSELECT\b)", re.S | re.I)

@@ -26,7 +26,9 @@ from quarrylens.operators.rowmap import flat_map
 from quarrylens.php.lexer import line_of, line_starts
 
 _ID = r"[A-Za-z_\x80-\U0010ffff][0-9A-Za-z_\x80-\U0010ffff]*"
-_TEXT = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|`[^`]*+`"""
+#: A line feed within a string, but not before a line that reads as code: there a quote was left open.
+_FEED = r"\n(?!\s*(?:\}|\$\w+\s*=|(?:public|private|protected|final|abstract|static|function|return|foreach|if|throw)\b))"
+_TEXT = rf"""'[^'\\\n]*+(?:(?:\\.|{_FEED})[^'\\\n]*+)*+'|"[^"\\\n]*+(?:(?:\\.|{_FEED})[^"\\\n]*+)*+"|`[^`\n]*+`"""
 _COMMENT = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/|(?://|\#(?!\[))[^\r\n?]*+(?:\?(?!>)[^\r\n?]*+)*+"
 _HEREDOC = rf"(?<!<)<<<[ \t]*(?:\"(?P<q>{_ID})\"|'(?P<q>{_ID})'|(?P<q>{_ID}))\r?\n(?:(?![ \t]*(?P=q)\b)[^\n]*+\n)*+(?:[ \t]*(?P=q)\b|[^\n]*+\Z)"
 _SCAN = regex.compile(
