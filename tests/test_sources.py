@@ -62,5 +62,5 @@ def test_selection_masks_and_fixers(spark):
     found = style.issues(f)
     assert {r.path: r.applied_codes for r in style.fixed_files(f, found).collect()}["p/a.php"] == ["Generic.Functions.FunctionCallArgumentSpacing", "PSR12.ControlStructures.ControlStructureSpacing"]
     report = [r.text for r in style.text_report(found, f).collect()]
-    assert report[0].startswith("FILE: p/a.php\n") and "AFFECTING 2 LINES" in report[0] and "[x] " in report[0]
+    assert report[0].startswith("FILE: p/a.php\n") and "AFFECTING 2 LINES" in report[0] and "[x] " in report[1] and len(report) == 2 + found.count()
     assert style.masked_lines(f).where("file_id = 1").count() == 5
