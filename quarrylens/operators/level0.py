@@ -7,7 +7,7 @@ catalogue of the language comes as a literal table.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +24,8 @@ SYMBOLS, MODEL, INVOCATION = "PHPStan.Level0.Symbols", "PHPStan.Level0.ClassMode
 class Index:
     """The symbol catalogue of a corpus: declarations first to last, with the language's own."""
 
-    def __init__(self, spark: SparkSession, rows: DataFrame):
-        self.spark, self.rows = spark, rows
+    def __init__(self, spark: SparkSession, rows: DataFrame, files: DataFrame):
+        self.spark, self.rows, self.files = spark, rows, files
         own = rows.where("kind = 'decl_class' AND name IS NOT NULL").select("key", "name", F.col("extra").alias("kind"), "flags", "path", "line", F.lit(False).alias("builtin"))
         native = spark.createDataFrame([(k.lower(), k, kind, None, None, None, True) for k, (kind, _) in CLASSES.items()], own.schema)
         self.all_classes = own.unionByName(native)
@@ -42,7 +42,19 @@ class Index:
         self.edges = edges.unionByName(native_edges)
         self.lineage = closure(self.edges, "key", "alt")
 
+    @cached_property
+    def _open(self) -> DataFrame:
+        return checkpointed(self._open_classes())
+
     def open_classes(self) -> DataFrame:
+        return self._open
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """All methods a class has, its own and inherited; several rules ask for them, so they are written once."""
+        return checkpointed(self.lookup(self.methods))
+
+    def _open_classes(self) -> DataFrame:
         """Classes about which not everything is known: an ancestor is unknown, or calls are caught by magic methods."""
         unknown = self.lineage.join(self.classes.select(F.col("key").alias("ancestor")), "ancestor", "left_anti").select(F.col("node").alias("cls"))
         magic = self.methods.where("key IN ('__call', '__callstatic', '__get')").select("cls")
@@ -105,7 +117,7 @@ def this_calls(x: Index) -> DataFrame:
     """Calls on $this of methods that the class and its ancestors lack, or with arguments that do not fit."""
     calls = x.rows.where("kind = 'this_call'").select("file_id", "path", "line", "col", "name", "key", F.col("alt").alias("cls"), F.col("low").alias("n"), "flags")
     calls = calls.join(x.open_classes(), "cls", "left_anti").join(x.rows.where("kind = 'decl_class' AND extra <> 'trait'").select(F.col("key").alias("cls")).distinct(), "cls", "left_semi")
-    m = x.lookup(x.methods).select("cls", "key", F.col("low").alias("least"), F.col("high").alias("most"))
+    m = x.members.select("cls", "key", F.col("low").alias("least"), F.col("high").alias("most"))
     undefined = calls.join(m, ["cls", "key"], "left_anti")
     return _issue(undefined, SYMBOLS, F.concat(F.lit("Method "), "name", F.lit(" is not defined in "), "cls")).unionByName(
         _issue(_wrong_count(calls.join(m, ["cls", "key"])), INVOCATION, _count_message()))
@@ -115,7 +127,7 @@ def static_members(x: Index) -> DataFrame:
     """Static calls and class constants that the class and its ancestors lack."""
     hidden = x.open_classes()
     known = x.classes.where("NOT builtin").select(F.col("key").alias("cls"))
-    m = x.lookup(x.methods).select("cls", "key")
+    m = x.members.select("cls", "key")
     calls = x.rows.where("kind = 'static_call'").withColumn("owner", F.col("alt")).drop("cls").withColumnRenamed("alt", "cls")
     bad = calls.join(known, "cls", "left_semi").join(hidden, "cls", "left_anti").join(m, ["cls", "key"], "left_anti")
     consts = x.rows.where("kind = 'decl_const'").select("cls", "key", "name", "low", "high", "flags")
@@ -185,6 +197,29 @@ def instantiation(x: Index) -> DataFrame:
     return _issue(bad, MODEL, F.concat(F.lit("No instance can be made of "), "name"))
 
 
+def constructors(x: Index) -> DataFrame:
+    """Instances made with arguments that the constructor does not take, or by strangers of a private one."""
+    new = x.rows.where("kind = 'new'").select("file_id", "path", "line", "col", "name", F.col("key").alias("made"), F.col("low").alias("n"), "flags", F.col("cls").alias("caller"))
+    ctor = x.members.where("key = '__construct'").select(F.col("cls").alias("made"), F.col("low").alias("least"), F.col("high").alias("most"), F.col("flags").alias("ctor_flags"))
+    calls = new.join(x.open_classes().withColumnRenamed("cls", "made"), "made", "left_anti").join(ctor, "made")
+    hidden = calls.where("concat(' ', ctor_flags, ' ') LIKE '% private %' AND coalesce(caller, '') <> made")
+    return _issue(_wrong_count(calls), "A.ARG.COUNT", _count_message()).unionByName(_issue(hidden, INVOCATION, F.concat(F.lit("The constructor of "), "name", F.lit(" is private"))))
+
+
+def static_to_instance(x: Index) -> DataFrame:
+    """Static calls of instance methods from outside the class's own line."""
+    m = x.members.where("NOT coalesce(concat(' ', flags, ' ') LIKE '% static %', false)").select(F.col("cls").alias("target"), "key")
+    calls = x.rows.where("kind = 'static_call' AND alt <> 'parent'").select("file_id", "path", "line", "col", "name", "key", F.col("alt").alias("target"), F.col("cls").alias("caller"))
+    bad = calls.where("coalesce(caller, '') <> target").join(m, ["target", "key"]).join(x.lineage.select(F.col("node").alias("caller"), F.col("ancestor").alias("target")), ["caller", "target"], "left_anti")
+    return _issue(bad, INVOCATION, F.concat(F.lit("Method "), "name", F.lit(" of "), "target", F.lit(" is not static")))
+
+
+def missing_includes(x: Index) -> DataFrame:
+    """Written-out includes of files that the corpus does not have."""
+    have = x.files.select(F.col("path").alias("key"))
+    return _issue(x.rows.where("kind = 'include'").join(have, "key", "left_anti"), "PHPStan.Level0.Language", F.concat(F.lit("No file "), "name"))
+
+
 def subtypes(x: Index) -> DataFrame:
     """Values of a class where another is declared, with no path between them; open hierarchies are let pass."""
     t = x.rows.where("kind = 'subtype'")
@@ -194,7 +229,7 @@ def subtypes(x: Index) -> DataFrame:
     return g.select("file_id", F.col("path").alias("filename"), "line", "col", F.lit("ERROR").alias("type"), F.lit(False).alias("fixable"), F.col("name").alias("message"), F.col("extra").alias("code"))
 
 
-RULES = {f.__name__: f for f in (unknown_classes, unknown_functions, function_arguments, this_calls, static_members, this_properties, duplicates, heritage, final_overrides, required_methods, instantiation, subtypes)}
+RULES = {f.__name__: f for f in (unknown_classes, unknown_functions, function_arguments, this_calls, static_members, this_properties, duplicates, heritage, final_overrides, required_methods, instantiation, constructors, static_to_instance, missing_includes, subtypes)}
 #: Level of each group of codes (F3): local rules run at every level.
 LEVEL = {SYMBOLS: 0, MODEL: 0, INVOCATION: 0, "A.PROP.TYPE": 3, "A.RETURN.TYPE": 3, "Generic.CodeAnalysis.UnreachableCode": 4, "A.ARG.TYPE": 5}
 
@@ -204,7 +239,7 @@ def analyse(files: DataFrame, level: int | None = None, disabled: tuple[str, ...
     spark = files.sparkSession
     rows = checkpointed(facts(files))
     local = rows.where("kind = 'issue'").select("file_id", F.col("path").alias("filename"), "line", "col", F.lit("ERROR").alias("type"), F.lit(False).alias("fixable"), F.col("name").alias("message"), F.col("key").alias("code"))
-    x = Index(spark, rows)
+    x = Index(spark, rows, files)
     out = reduce(DataFrame.unionByName, [local, *(RULES[r](x) for r in rules)])
     if disabled:
         out = out.where(~F.col("code").isin(*disabled))
@@ -221,9 +256,10 @@ def php_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def php_class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes with their number of ancestors and of methods, inherited ones too."""
-    x = Index(spark, checkpointed(facts(php_files(spark, sf_dir))))
+    files = php_files(spark, sf_dir)
+    x = Index(spark, checkpointed(facts(files)), files)
     depth = x.lineage.groupBy(F.col("node").alias("key")).agg(F.count("*").alias("ancestors"))
-    m = x.lookup(x.methods).groupBy(F.col("cls").alias("key")).agg(F.count("*").alias("methods"))
+    m = x.members.groupBy(F.col("cls").alias("key")).agg(F.count("*").alias("methods"))
     return x.classes.join(depth, "key", "left").join(m, "key", "left").select("key", "name", "kind", "builtin", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("methods", F.lit(0)).alias("methods"))
 
 

@@ -196,6 +196,8 @@ class _File:
                 base = self.nodes[self.kids[i][0]] if self.kids[i] else None
                 if base and base[4] == "Variable" and base[6] == "this" and self.cls[i] >= 0:
                     self.add("this_property", i, name, name.lower(), self.class_key(self.cls[i]))
+            elif kind == "Include":
+                self.include(i)
             elif kind == "Array":
                 self.duplicate_keys(i)
             elif kind in ("If", "ElseIf", "While", "DoWhile"):
@@ -214,6 +216,23 @@ class _File:
         self.side_effects()
         Flow(self).run()
 
+    def include(self, i: int) -> None:
+        """The path of an include that is written out, relative to the file's folder."""
+        e = self.nodes[self.kids[i][0]] if self.kids[i] else None
+        if e and e[4] == "Concat" and len(self.kids[e[0]]) == 2:
+            left, right = (self.nodes[k] for k in self.kids[e[0]])
+            if (left[4], (left[6] or "").upper()) != ("Name", "__DIR__"):
+                return
+            e = right
+        if e and e[4] == "StringLiteral" and e[7]:
+            parts: list[str] = self.path.split("/")[:-1]
+            for p in e[7].split("/"):
+                if p == ".." and parts:
+                    parts.pop()
+                elif p not in ("", ".", ".."):
+                    parts.append(p)
+            self.add("include", i, e[7], "/".join(parts))
+
     def printf(self, i: int, n: int) -> None:
         """Placeholders against arguments."""
         first = self.kids[i][0] if self.kids[i] else -1

@@ -92,6 +92,17 @@ class Keeper
     private function take(int $i, string $s, bool $more = false) {}
     public function k($v) { if ($v); ; return $v; }
 }
+""",
+    "n.php": """<?php
+class Made { private function __construct(int $a) {} public function inst() {} public static function make() { return new Made(1, 2); } }
+class Free { public function __construct(int $a, int ...$b) {} }
+new Made(1);
+new Free();
+new Free(1, 2, 3);
+Made::inst();
+Made::make();
+require __DIR__ . '/a.php';
+require_once 'gone.php';
 """,
     "broken.php": "<?php class X { public funtion y() {} }\n",
 }
@@ -117,6 +128,12 @@ LEVEL0 = [
     ('b.php', 22, 'PHPStan.Level0.Language', 'No label nowhere'),
     ('b.php', 23, 'PHPStan.Level0.Invocation', '2 placeholders but 1 values'),
     ('b.php', 24, 'PHPStan.Level0.Symbols', 'Class Shape2 is not known (new)'),
+    ('n.php', 2, 'A.ARG.COUNT', 'Call of Made with 2 arguments, 1 to 1 fit'),
+    ('n.php', 4, 'PHPStan.Level0.Invocation', 'The constructor of Made is private'),
+    ('n.php', 4, 'PSR1.Files.SideEffects', 'The file declares symbols and has side effects'),
+    ('n.php', 5, 'A.ARG.COUNT', 'Call of Free with 0 arguments, 1 to more fit'),
+    ('n.php', 7, 'PHPStan.Level0.Invocation', 'Method inst of made is not static'),
+    ('n.php', 10, 'PHPStan.Level0.Language', 'No file gone.php'),
     ('t.php', 10, 'A.RETURN.TYPE', 'Return: ty\\keeper does not fit array'),
     ('t.php', 11, 'A.RETURN.TYPE', 'A value is returned where void is declared'),
     ('t.php', 12, 'A.RETURN.TYPE', 'Return without a value does not fit int|null'),
@@ -190,5 +207,5 @@ QUERIES = {f.__name__: f for f in (php_level0_fixture, php_style_fixture, php_co
 ORACLE = {
     "php_level0_fixture": _values(LEVEL0, "filename, line, code, message"),
     "php_style_fixture": _values(STYLE, "line, col, code"),
-    "php_compat_fixture": _values([("a.php", None), ("b.php", None), ("c.php", None), ("t.php", None), ("broken.php", 1)], "path, error_line"),
+    "php_compat_fixture": _values([("a.php", None), ("b.php", None), ("c.php", None), ("t.php", None), ("n.php", None), ("broken.php", 1)], "path, error_line"),
 }
