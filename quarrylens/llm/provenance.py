@@ -159,15 +159,18 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, project, verdict) of every file; verdict null is hand-written source."""
     f = checkpointed(features(spark, sf_dir))
+    shared = f.where(F.col("root").isNotNull()).groupBy(F.lower("root").alias("shared_root")).agg(F.countDistinct("project").alias("n_projects")).where("n_projects > 1").select("shared_root")
     roots = f.where(F.col("root").isNotNull() & ~F.col("third_party")).groupBy("project", F.lower("root").alias("r")).agg(F.count("*").alias("n"))
-    own = roots.groupBy("project").agg(F.max_by("r", F.struct("n", "r")).alias("own"))
-    shared = f.where(F.col("root").isNotNull()).groupBy(F.lower("root").alias("shared_root")).agg(F.countDistinct("project").alias("n_projects")).where("n_projects > 1")
+    # A root that other projects have too is a project's own only where it has no other.
+    roots = roots.join(shared, F.col("r") == F.col("shared_root"), "left")
+    own = roots.groupBy("project").agg(F.max_by("r", F.struct(F.col("shared_root").isNull(), "n", "r")).alias("own"))
     f = f.join(own, "project", "left").join(shared, F.lower("root") == F.col("shared_root"), "left")
     ignored = table(spark, sf_dir, "projects", "project", "ignore_dirs")
     f = f.join(ignored.dropDuplicates(["project"]), "project", "left")
     foreign = F.col("root").isNotNull() & (F.lower("root") != F.coalesce("own", F.lit("")))
     in_ignored = F.coalesce(F.arrays_overlap(F.slice(F.split("path", "/"), 2, 64), F.col("ignore_dirs")), F.lit(False))
-    vendored = F.when(F.col("root").isNotNull(), foreign & (F.col("third_party") | F.col("package") | F.col("shared_root").isNotNull())).otherwise(
+    in_own_folder = F.array_contains(F.slice(F.split(F.lower("path"), "/"), 2, 64), F.lower("root"))  # deps/name/src of package name
+    vendored = F.when(F.col("root").isNotNull(), foreign & (F.col("third_party") | F.col("package") | F.col("shared_root").isNotNull() | in_own_folder)).otherwise(
         F.col("third_party") & (in_ignored | F.col("package") | F.col("path").rlike(r"^[^/]+/[^/]+/[^/]+/")))
     return f.select("file_id", "project", "path", F.coalesce("verdict", F.when(vendored, "vendored")).alias("verdict"))
 
