@@ -170,7 +170,10 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     foreign = F.col("root").isNotNull() & (F.lower("root") != F.coalesce("own", F.lit("")))
     in_ignored = F.coalesce(F.arrays_overlap(F.slice(F.split("path", "/"), 2, 64), F.col("ignore_dirs")), F.lit(False))
     in_own_folder = F.array_contains(F.slice(F.split(F.lower("path"), "/"), 2, 64), F.lower("root"))  # deps/name/src of package name
-    vendored = F.when(F.col("root").isNotNull(), foreign & (F.col("third_party") | F.col("package") | F.col("shared_root").isNotNull() | in_own_folder)).otherwise(
+    parts = F.split(F.lower("path"), "/")
+    # name/ directly below a folder that is no source folder; then the root is foreign even where the project has no other file.
+    package_folder = (F.size(parts) > 3) & (F.get(parts, F.lit(2)) == F.lower("root")) & ~F.get(parts, F.lit(1)).isin("src", "app", "lib", "libs", "source", "classes", "include", "test", "tests", "modules", "packages")
+    vendored = F.when(F.col("root").isNotNull(), foreign & (F.col("third_party") | F.col("package") | F.col("shared_root").isNotNull() | in_own_folder) | package_folder).otherwise(
         F.col("third_party") & (in_ignored | F.col("package") | F.col("path").rlike(r"^[^/]+/[^/]+/[^/]+/")))
     return f.select("file_id", "project", "path", F.coalesce("verdict", F.when(vendored, "vendored")).alias("verdict"))
 
