@@ -10,7 +10,7 @@ third-party directory or call themselves part of a package, are copies.
 Directories to ignore are weak evidence only, as they may hold own work: they
 count for files without a namespace of their own.
 
-Null content gives no row; an empty text is no case.
+Null content gives no row; an empty text is no case. Without a path the layout alone decides.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file: what its layout, header, namespace and directory say."""
 
     def make():
-        return lambda file_id, project, path, content: ((file_id, project, path, *layout(path, content)),)
+        return lambda file_id, project, path, content: ((file_id, project, path, *layout(path or "", content)),)
 
     rows = files(spark, sf_dir, "file_id", F.col("case_id").alias("project"), "path", "content")
     return flat_map(rows, make, "file_id long, project string, path string, verdict string, root string, package boolean, third_party boolean").dropDuplicates(["file_id"])

@@ -68,3 +68,15 @@ def test_found_on_files(spark, file_tables):
     assert clean[100].n_credentials == 3 and "MIIabc123" not in clean[100].content and "o3kN7NayIeAORF" not in clean[100].content and clean[101].content == ""
     assert first_error(clean[100].content) is None
     assert credentials.found(spark, file_tables([])).count() == 0
+
+
+def test_nulls_in_every_column(spark, file_tables):
+    """Rows without id, path or project crash nothing; without a path there is no language, so no finding."""
+    from quarrylens.llm import language, licenses, pairs, parse_check
+
+    rows = [(None, None, None, "<?php\n/** The rule sorts remaining rows. */\nfunction a() { return 'x'; }\n"), (None, None, None, None), (1, None, None, ""), (2, "p", "p/a.php", "<?php\n")]
+    d = file_tables(rows, refs=[("MIT", "MIT License", "Whoever holds a copy may run it and hand it on to anyone.")], projects=[(None, None), ("p", None)], docs=[(1, "The parser keeps all pending orders", "en", None), (None, None, None, None)])
+    for found in (language.found, provenance.found, pairs.found, credentials.found, parse_check.found):
+        assert found(spark, d).count() == 0, found.__module__
+    assert {(r.scope, r.subject, r.license_id) for r in licenses.found(spark, d).collect()} == {("repo", "p", "UNKNOWN"), ("file", "p/a.php", "UNKNOWN")}
+    assert credentials.redacted(spark, d).count() == 3
