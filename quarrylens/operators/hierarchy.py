@@ -1,9 +1,12 @@
 """Reachability over parent edges.
 
-The closure is built by doubling: a step joins paths of length up to n with
-paths of length up to n, so it takes log2(depth) joins, not depth. Cycles end
-because a pair is kept once, at its least distance. Each step is written to the
-checkpoint folder, so plans stay short and a lost executor costs one step.
+The closure is built by doubling. Besides all pairs up to distance n it keeps
+the pairs that are joined by a walk of exactly n edges; all pairs up to 2n are
+the old ones and those with such a walk behind them. So depth d takes log2(d)
+steps, and a tree's pairs are made once each rather than at every cut of their
+path. Cycles end because a pair is kept once, at its least distance. Each step
+is written to the checkpoint folder: plans stay short, and a lost executor
+costs one step.
 """
 
 from __future__ import annotations
@@ -16,18 +19,19 @@ from quarrylens.session import checkpointed
 
 def closure(edges: DataFrame, child: str, parent: str, steps: int = 32) -> DataFrame:
     """(node, ancestor, depth) of every pair, depth at least 1; a node on a cycle is no ancestor of itself."""
-    pairs = edges.where(F.col(child) != F.col(parent)).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    pairs = checkpointed(pairs)
-    n = pairs.count()
+    exact = edges.where(F.col(child) != F.col(parent)).select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
+    exact = checkpointed(exact)
+    pairs, n, length = exact.withColumn("depth", F.lit(1)), exact.count(), 1
     for _ in range(steps):
-        left = pairs.select("node", F.col("ancestor").alias("mid"), F.col("depth").alias("a"))
-        right = pairs.select(F.col("node").alias("mid"), "ancestor", F.col("depth").alias("b"))
-        longer = left.join(right, "mid").where(F.col("node") != F.col("ancestor")).select("node", "ancestor", (F.col("a") + F.col("b")).alias("depth"))
+        jump = exact.select(F.col("node").alias("mid"), F.col("ancestor").alias("far"))
+        longer = (pairs.withColumnRenamed("ancestor", "mid").join(jump, "mid").where(F.col("node") != F.col("far"))
+                  .select("node", F.col("far").alias("ancestor"), (F.col("depth") + length).alias("depth")))
         pairs = checkpointed(pairs.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
         m = pairs.count()
         if m == n:
             break
-        n = m
+        exact = checkpointed(exact.withColumnRenamed("ancestor", "mid").join(jump, "mid").where(F.col("node") != F.col("far")).select("node", F.col("far").alias("ancestor")).distinct())
+        n, length = m, 2 * length
     return pairs
 
 

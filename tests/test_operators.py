@@ -18,6 +18,24 @@ def test_closure_of_a_cycle_and_a_chain(spark):
                    ("p", "q"): 1, ("p", "r"): 2, ("p", "s"): 1, ("q", "r"): 1, ("q", "s"): 2, ("r", "s"): 1}
 
 
+def test_closure_of_random_graphs_against_breadth_first_search(spark):
+    rng = random.Random(11)
+    edges = [(g, f"{g}-{rng.randrange(14)}", f"{g}-{rng.randrange(14)}") for g in range(12) for _ in range(rng.choice([8, 14, 22]))]
+    want = {}
+    out = {}
+    for _, a, b in edges:
+        out.setdefault(a, set()).add(b)
+    for start in out:
+        level, seen, depth = {start}, {start}, 0
+        while level:
+            depth += 1
+            level = {b for a in level for b in out.get(a, ())} - seen
+            seen |= level
+            want.update({(start, b): depth for b in level})
+    got = closure(spark.createDataFrame([(a, b) for _, a, b in edges], "c string, p string"), "c", "p")
+    assert {(r.node, r.ancestor): r.depth for r in got.collect()} == want
+
+
 def test_nearest_takes_the_least_distance(spark):
     pairs = closure(spark.createDataFrame([(4, 3), (3, 2), (2, 1)], "c int, p int"), "c", "p")
     got = {r.node: r.ancestor for r in nearest(pairs, spark.createDataFrame([(1,), (2,)], "id int"), "id").collect()}
