@@ -8,8 +8,8 @@ from pathlib import Path
 
 from quarrylens.operators.overrides import compiled
 
-#: Names tried in this order (fixed values).
-NAMES = ("go-phpcs.yaml", "go-phpcs.yml", "config.yaml")
+#: Names tried in this order.
+NAMES = ("quarrylens.yaml", "quarrylens.yml", "config.yaml")
 
 
 @dataclass(frozen=True)
