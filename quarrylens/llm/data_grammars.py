@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import re
 
+from quarrylens.php.grammar import Bad as BracketError
+from quarrylens.php.grammar import brackets
+
 
 def json_parses(text: str) -> bool:
     """RFC 8259 JSON; a byte order mark is fine, NaN and Infinity are not."""
@@ -249,7 +252,7 @@ def yaml_parses(text: str) -> bool:
 
 # ---------------------------------------------------------------- SQL
 _SQL = re.compile(
-    r"""(?P<ws>\s+|--[^\n]*|\#[^\n]*|/\*.*?\*/)|(?P<str>'(?:[^'\\]|''|\\.)*'|"(?:[^"]|"")*"|`[^`]*`)
+    r"""(?P<ws>\s+|--[^\n]*|\#[^\n]*|/\*.*?\*/)|(?P<str>'(?:[^'\\]|''|\\.)*+'|"(?:[^"]|"")*+"|`[^`]*`)
 |(?P<num>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<word>[^\W\d]\w*)|(?P<par>[:@$?][\w]*)|(?P<op><=|>=|<>|!=|\|\||::|:=|[-+*/%=<>.,;()\[\]&|^~])""",
     re.X | re.S,
 )
@@ -287,29 +290,73 @@ def _sql_statement(t: list[tuple[str, str]]) -> bool:
     return True
 
 
-def sql_parses(text: str) -> bool:
-    """Tokens, balanced parentheses and the outline of each statement."""
-    text = text.removeprefix("﻿")
-    i, n, depth = 0, len(text), 0
-    statement: list[tuple[str, str]] = []
+SQL_STATES = ("code", "'", '"', "`", "/*")
+_SQL_REST = {"'": re.compile(r"(?:[^'\\]|''|\\.)*+'", re.S), '"': re.compile(r'(?:[^"]|"")*+"'), "`": re.compile("[^`]*`"), "/*": re.compile(r".*?\*/", re.S)}
+
+
+def sql_scan(state: str, text: str) -> tuple[str | None, list[tuple[str, str]]]:
+    """(end state or None, tokens as (kind, text)) of a piece; parentheses are kinds of their own, strings have no text."""
+    out: list[tuple[str, str]] = []
+    i, n = 0, len(text)
+    if state != "code":
+        m = _SQL_REST[state].match(text)
+        if not m:
+            return state, out
+        if state != "/*":
+            out.append(("str", "''"))
+        i = m.end()
     while i < n:
         m = _SQL.match(text, i)
-        if not m:
-            return False
-        kind, s = m.lastgroup, m.group()
+        kind = m.lastgroup if m else ""
+        if kind != "ws":
+            if text.startswith("/*", i):
+                return "/*", out
+            if not m:
+                return (text[i] if text[i] in _SQL_REST else None), out
+            out.append(("str", "''") if kind == "str" else (m.group() if m.group() in "()" else kind, m.group()))
         i = m.end()
-        if kind == "ws":
-            continue
-        if s == "(":
-            depth += 1
-        elif s == ")":
-            depth -= 1
-            if depth < 0:
-                return False
-        if s == ";" and not depth:
-            if statement and not _sql_statement(statement):
+    return "code", out
+
+
+def sql_parses_tokens(toks: list[tuple[str, str]], partner: dict[int, int]) -> bool:
+    """The outline of each statement of tokens with matched parentheses."""
+    start = i = 0
+    while i < len(toks):
+        if toks[i][1] == ";":
+            if i > start and not _sql_statement(toks[start:i]):
                 return False
-            statement = []
-            continue
-        statement.append((kind, s))
-    return not depth and (not statement or _sql_statement(statement))
+            start = i + 1
+        i = partner.get(i, i) + 1
+    return start == i or _sql_statement(toks[start:])
+
+
+def sql_parses(text: str) -> bool:
+    """Tokens, balanced parentheses and the outline of each statement."""
+    end, toks = sql_scan("code", text.removeprefix("\ufeff"))
+    try:
+        return end == "code" and sql_parses_tokens(toks, brackets([t[0] for t in toks]))
+    except BracketError:
+        return False
+
+
+# ---------------------------------------------------------------- JSON as pieces
+JSON_STATES = ("code", '"')
+_JSON = re.compile(r'(?P<str>"(?:[^"\\]|\\.)*+")|(?P<open>")|[\[\]{}]', re.S)
+_JSON_REST = re.compile(r'(?:[^"\\]|\\.)*+"', re.S)
+
+
+def json_scan(state: str, text: str) -> tuple[str, list[tuple[str]]]:
+    """(end state, brackets outside strings) of a piece."""
+    i = 0
+    if state == '"':
+        m = _JSON_REST.match(text)
+        if not m:
+            return state, []
+        i = m.end()
+    out: list[tuple[str]] = []
+    for m in _JSON.finditer(text, i):
+        if m.lastgroup == "open":
+            return '"', out
+        if not m.lastgroup:
+            out.append((m.group(),))
+    return "code", out

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from quarrylens.php.grammar import Bad as BracketError
+from quarrylens.php.grammar import brackets
+
 _ID = r"[A-Za-z_$\x80-\U0010ffff][0-9A-Za-z_$\x80-\U0010ffff]*"
 _LEX = re.compile(
     rf"""(?P<ws>[ \t\r\n\f\v﻿\xa0  ]+)
@@ -32,87 +35,115 @@ class Bad(Exception):
     pass
 
 
-def lex(text: str) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, line break before); template literals are one `tpl` token."""
-    out: list[tuple[str, int, int, bool]] = []
-    i, n, nl, last = 0, len(text), False, ""
+#: States a piece of a script may start in: as a whole, in code (behind a value or not), in a string (after a line
+#: break or not), in a comment (behind a value or not), in a template. Templates that nest have further ones.
+STATES = ("start", *((w, x) for w in ("code", "'", '"', "/*") for x in (False, True)), *(("`", x, (0,)) for x in (False, True)))
+_STRING_REST = {q: re.compile(rf"[^{q}\\\r\n]*(?:\\(?:\r\n|[\s\S])[^{q}\\\r\n]*)*") for q in "'\""}
+
+
+def scan(state, text: str):
+    """(end state or None, tokens as (kind, name, line break before)) of a piece; a template literal is one `tpl` token."""
+    out: list[tuple[str, str, bool]] = []
+    i, n, nl, last = 0, len(text), state != "start", False
+    if state == "start":
+        m = re.match(r"\#![^\r\n]*", text)
+        i = m.end() if m else 0
+    elif state[0] == "code":
+        last = state[1]
+    elif state[0] == "/*":
+        i, last = text.find("*/") + 2, state[1]
+        if i < 2:
+            return state, out
+    elif state[0] in "'\"":
+        i = _STRING_REST[state[0]].match(text).end()
+        if text[i : i + 1] != state[0]:
+            return (state if i == n else None), out
+        out.append(("str", "", state[1]))
+        i, nl, last = i + 1, False, True
+    elif state[0] == "`":
+        i, rest = _template(text, 0, state[2])
+        if i < 0:
+            return (("`", state[1], rest) if rest else None), out
+        out.append(("tpl", "", state[1]))
+        nl, last = False, True
     while i < n:
         c = text[i]
-        if c == "/" and last not in _VALUE_END and (m := _REGEX.match(text, i)):
-            out.append(("regex", i, m.end(), nl))
-            i, nl, last = m.end(), False, "regex"
+        if c == "/" and not last and (m := _REGEX.match(text, i)):
+            out.append(("regex", "", nl))
+            i, nl, last = m.end(), False, True
             continue
         m = _LEX.match(text, i)
-        if not m or m.lastgroup == "bad":
-            raise Bad(i)
-        kind, j = m.lastgroup, m.end()
+        if not m:
+            if c in "'\"" and _STRING_REST[c].match(text, i + 1).end() == n:
+                return (c, nl), out
+            return None, out
+        kind, j, name = m.lastgroup, m.end(), ""
+        if kind == "bad":
+            return ("/*", last), out
         if kind == "ws" or kind == "comment":
+            if kind == "comment" and m.group().startswith("#!"):
+                return None, out
             nl = nl or "\n" in m.group()
             i = j
             continue
         if kind == "tick":
-            j = _template_end(text, i + 1)
+            j, rest = _template(text, i + 1, (0,))
+            if j < 0:
+                return (("`", nl, rest) if rest else None), out
             kind = "tpl"
         elif kind == "word":
-            w = m.group()
-            kind = w if w in _RESERVED else "id"
+            name = m.group()
+            kind, name = (name, "") if name in _RESERVED else ("id", name)
         elif kind == "op":
             kind = m.group()
         elif kind == "num" and j < n and re.match(r"[A-Za-z_$]", text[j]):
-            raise Bad(j)
-        out.append((kind, i, j, nl))
-        i, nl, last = j, False, kind
-    return out
-
-
-def _template_end(text: str, i: int) -> int:
-    n = len(text)
-    while i < n:
+            return None, out
+        out.append((kind, name, nl))
+        i, nl, last = j, False, kind in _VALUE_END
+    return ("start" if state == "start" and not n else ("code", last)), out
+
+
+def _template(text: str, i: int, state: tuple):
+    """(place behind the template, ()), or (-1, state) where the piece ends within it: 0 for text, else the depth of
+    braces in ${}, per template; last the quote of a string. No state is left where nothing can follow."""
+    n, stack = len(text), list(state)
+    while i < n or stack[-1] in ("'", '"'):
+        d = stack[-1]
+        if d in ("'", '"'):
+            j = _STRING_REST[d].match(text, i).end()
+            if text[j : j + 1] != d:
+                return -1, tuple(stack) if j == n else ()
+            stack.pop()
+            i = j + 1
+            continue
         c = text[i]
-        if c == "\\":
-            i += 2
-        elif c == "`":
-            return i + 1
-        elif c == "$" and text[i + 1 : i + 2] == "{":
-            depth, i = 1, i + 2
-            while i < n and depth:
-                c = text[i]
-                if c in "'\"":
-                    m = _LEX.match(text, i)
-                    if not m or m.lastgroup != "str":
-                        raise Bad(i)
-                    i = m.end()
-                    continue
-                if c == "`":
-                    i = _template_end(text, i + 1)
-                    continue
-                depth += (c == "{") - (c == "}")
+        i += 1
+        if c == "`":
+            if d:
+                stack.append(0)
+            else:
+                stack.pop()
+                if not stack:
+                    return i, ()
+        elif not d:
+            if c == "\\":
                 i += 1
-            if depth:
-                raise Bad(i)
+            elif c == "$" and text[i : i + 1] == "{":
+                stack[-1] = 1
+                i += 1
+        elif c in "'\"":
+            stack.append(c)
         else:
-            i += 1
-    raise Bad(n)
+            stack[-1] = d + (c == "{") - (c == "}")
+    return -1, tuple(stack)
 
 
 class _Parser:
-    def __init__(self, text: str):
-        toks = lex(text)
+    def __init__(self, toks: list[tuple[str, str, bool]], partner: dict[int, int]):
         self.k = [t[0] for t in toks] + ["eof"]
-        self.w = [text[t[1] : t[2]] if t[0] == "id" else "" for t in toks] + [""]
-        self.nl = [t[3] for t in toks] + [True]
-        self.m: dict[int, int] = {}
-        stack: list[int] = []
-        pair = {")": "(", "]": "[", "}": "{"}
-        for i, t in enumerate(self.k):
-            if t in ("(", "[", "{"):
-                stack.append(i)
-            elif t in pair:
-                if not stack or self.k[stack[-1]] != pair[t]:
-                    raise Bad(i)
-                self.m[stack.pop()] = i
-        if stack:
-            raise Bad(stack[-1])
+        self.w = [t[1] for t in toks] + [""]
+        self.nl = [t[2] for t in toks] + [True]
+        self.m = partner
 
     def need(self, i: int, kind: str) -> int:
         if self.k[i] != kind:
@@ -537,10 +568,19 @@ class _Parser:
                 return i
 
 
-def parses(text: str) -> bool:
-    """Whether the text is a script or module; the empty text is."""
+def parses_tokens(toks: list[tuple[str, str, bool]], partner: dict[int, int]) -> bool:
+    """Whether tokens with matched brackets are a script or module."""
     try:
-        _Parser(text.removeprefix("﻿")).program()
+        _Parser(toks, partner).program()
     except (Bad, IndexError, KeyError, RecursionError):
         return False
     return True
+
+
+def parses(text: str) -> bool:
+    """Whether the text is a script or module; the empty text is."""
+    end, toks = scan("start", text.removeprefix("\ufeff"))
+    try:
+        return end is not None and end[0] in ("s", "code") and parses_tokens(toks, brackets([t[0] for t in toks]))
+    except BracketError:
+        return False

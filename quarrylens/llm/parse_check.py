@@ -1,10 +1,14 @@
 """Problem 7: source files that do not parse.
 
-A file is cut into chunks at line ends. Each chunk becomes a lexer-state map
-(from every state the lexer can start in, the state it ends in) with a bracket
-summary for that start; maps combine associatively, so chunks may be summarised
-in any order and reduced pairwise. What the reduction leaves balanced is parsed
-statement by statement with the local grammar of the language.
+Every PHP, JavaScript, JSON and SQL file is cut into chunks at line ends. Each
+chunk becomes a lexer-state map: from every state the lexer can start in, the
+state it ends in, the tokens in between, the pairs of brackets and the brackets
+left over. Maps combine associatively and are reduced pairwise; the first chunk
+starts in the first state of its language. States that nest without bound
+(code within strings, heredoc labels) enter a map when a neighbour ends in
+them. The reduced tokens and bracket pairs are what the local grammar of the
+language parses, statement by statement. YAML has its structure in indentation,
+not in brackets: it has no maps and is read line by line.
 
 Null content gives no row; an empty text parses in every language but PHP and
 JSON, where it has no opening tag or value.
@@ -13,7 +17,11 @@ JSON, where it has no opening tag or value.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from bisect import bisect_left
+from collections.abc import Callable, Hashable
+from functools import partial
+from operator import itemgetter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,18 +30,39 @@ from quarrylens.llm import data_grammars, js_grammar
 from quarrylens.llm.sources import files, language, language_column
 from quarrylens.operators.rowmap import flat_map
 from quarrylens.php import grammar
-from quarrylens.php.lexer import tokens
+from quarrylens.php.lexer import heredoc_end, tokens
 from quarrylens.sources.tables import table
 
-#: Characters a chunk holds at least, but for the last; files below it are one chunk.
-CHUNK = 1 << 16
+#: Characters a chunk holds at least, but for the last.
+CHUNK = 1 << 10
 _CLOSE = {"(": ")", "[": "]", "{": "}", "attr": "]"}
-_ENDS = {"'": re.compile(r"[^'\\]*(?:\\.[^'\\]*)*'", re.S), '"': re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S), "`": re.compile(r"[^`\\]*(?:\\.[^`\\]*)*`", re.S), "/*": re.compile(r".*?\*/", re.S)}
-STATES = ("html", "php", "'", '"', "`", "/*")
+_ENDS = {"'": re.compile(r"[^'\\]*(?:\\.[^'\\]*)*'", re.S), "`": re.compile(r"[^`\\]*(?:\\.[^`\\]*)*`", re.S), "/*": re.compile(r".*?\*/", re.S)}
+_BRACKETS = frozenset((*_CLOSE, *_CLOSE.values()))
+_SKIP = frozenset(("ws", "comment", "doc"))
+STATES = ("html", "php", "'", '"', "`", "/*", "halted")
 
-#: End state, closers that lack an opener (first to last), openers that lack a closer; None where brackets clash.
-Summary = tuple[str, tuple[str, ...], tuple[str, ...]] | None
-Map = dict[str, Summary]
+
+class Summary(NamedTuple):
+    """A chunk read from one state: end state, tokens, closers that lack an opener and openers that lack a closer (as
+    what closes them and the token's place), pairs of places. None stands for a clash of brackets or what is no token."""
+
+    end: Hashable
+    toks: tuple[tuple, ...]
+    closers: tuple[tuple[str, int], ...]
+    openers: tuple[tuple[str, int], ...]
+    pairs: tuple[tuple[int, int], ...]
+
+
+class Map(dict):
+    """Summaries by start state, for `states` at once and for others when asked for."""
+
+    def __init__(self, states: tuple, make: Callable[[Hashable], Summary | None]):
+        super().__init__((s, make(s)) for s in states)
+        self.states, self.make = states, make
+
+    def __missing__(self, state: Hashable) -> Summary | None:
+        self[state] = out = self.make(state)
+        return out
 
 
 def chunks(text: str, size: int = CHUNK) -> list[str]:
@@ -48,92 +77,210 @@ def chunks(text: str, size: int = CHUNK) -> list[str]:
     return [*out, text[i:]]
 
 
-def _join_brackets(a: Summary, b: Summary) -> Summary:
+def _join(a: Summary | None, b: Summary | None) -> Summary | None:
     if a is None or b is None:
         return None
-    openers, closers = list(a[2]), list(a[1])
-    for c in b[1]:
+    toks, by = b.toks, len(a.toks)
+    if toks and by and toks[0] == a.toks[-1] == ("inline",):  # one text outside tags
+        toks, by = toks[1:], by - 1
+    openers, closers, pairs = list(a.openers), list(a.closers), list(a.pairs)
+    for c, i in b.closers:
         if openers:
-            if openers.pop() != c:
+            kind, j = openers.pop()
+            if kind != c:
                 return None
+            pairs.append((j, i + by))
         else:
-            closers.append(c)
-    return b[0], tuple(closers), (*openers, *b[2])
+            closers.append((c, i + by))
+    pairs += [(i + by, j + by) for i, j in b.pairs]
+    openers += [(c, i + by) for c, i in b.openers]
+    return Summary(b.end, a.toks + toks, tuple(closers), tuple(openers), tuple(sorted(pairs)))
 
 
-def _scan(state: str, text: str) -> Summary:
-    """Lexes one chunk from one state."""
-    if state.startswith("<<<"):
-        m = re.compile(rf"^[ \t]*{re.escape(state[3:])}(?![0-9A-Za-z_\x80-\U0010ffff])", re.M).search(text)
-        if not m:
-            return state, (), ()
-        text, state = text[m.end() :], "php"
-    elif state in _ENDS:
+def _quoted(text: str, i: int, depth: int, quote: str) -> tuple[int, Hashable]:
+    """(end of a double-quoted string, "") from within it, or (-1, the state in which the text leaves it)."""
+    n = len(text)
+    while i < n:
+        if quote:
+            m = _QUOTE[quote].match(text, i)
+            if not m:
+                return -1, ('"', depth, quote)
+            i, quote = m.end(), ""
+            continue
+        i = (_CODE_RUN if depth else _TEXT_RUN).match(text, i).end()
+        if i >= n:
+            break
+        c = text[i]
+        i += 1
+        if not depth:
+            if c == "\\":
+                i += 1
+            elif c == '"':
+                return i, ""
+            elif text[i - 1 : i + 1] in ("{$", "${"):
+                depth, i = 1, i + 1
+        elif c in "'\"":
+            quote = c
+        else:
+            depth += (c == "{") - (c == "}")
+    return -1, ('"', depth, quote) if depth else '"'
+
+
+_TEXT_RUN, _CODE_RUN = re.compile(r'[^"\\{$]*'), re.compile(r"[^'\"{}]*")
+_QUOTE = {"'": _ENDS["'"], '"': re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)}
+_HEREDOC = re.compile(r"<<<[ \t]*[\"']?([A-Za-z_\x80-\U0010ffff][0-9A-Za-z_\x80-\U0010ffff]*)")
+
+
+def php_scan(state: Hashable, text: str, read: dict[int, tuple] | None = None) -> tuple[Hashable, list[tuple[str]]]:
+    """(end state or None, kinds of code tokens) of a piece of PHP; a string counts where it ends.
+
+    `read` keeps what follows each place where a comment ends, so that states that meet there share one reading.
+    """
+    out: list[tuple[str]] = []
+    i = 0
+    if state == "halted":
+        return state, out
+    if state == "html":
+        if text.startswith("\ufeff"):  # the lexer would take it for the mark at the start of a file
+            end, rest = php_scan(state, text[1:])
+            return end, rest if rest[:1] == [("inline",)] else [("inline",), *rest]
+        return _php_tokens(text, tokens(text), state)
+    if isinstance(state, tuple) or state == '"':
+        i, rest = _quoted(text, 0, *(state[1:] if isinstance(state, tuple) else (0, "")))
+        if i < 0:
+            return rest, out
+    elif state.startswith("<<<"):
+        i = heredoc_end(text, state[3:], 0)
+        if i < 0:
+            return state, out
+    elif state != "php":
         m = _ENDS[state].match(text)
         if not m:
-            return state, (), ()
-        text, state = text[m.end() :], "php"
-    shift = "" if state == "html" else "<?php "
-    toks = tokens(shift + text)
-    closers: list[str] = []
-    openers: list[str] = []
-    end = state
-    for kind, i, j in toks:
+            return state, out
+        i = m.end()
+    if state not in ("php", "/*"):
+        out.append(("heredoc" if str(state).startswith("<<<") else "str" if state == "'" else "dq",))
+    if read and i in read:
+        toks, shift = read[i]
+        toks = toks[bisect_left(toks, i + shift, key=_START) :]
+    else:
+        toks, shift = tokens("<?php " + text[i:])[1:], 6 - i
+        if read is not None:
+            for kind, _, j in toks:
+                if kind == "comment" or kind == "doc":
+                    read.setdefault(j - shift, (toks, shift))
+    end, kinds = _php_tokens(text, toks, "php", shift)
+    return end, out + kinds
+
+
+def _php_tokens(text: str, toks: list[tuple[str, int, int]], state: str, shift: int = 0) -> tuple[Hashable, list[tuple[str]]]:
+    """End state and kinds of tokens whose places are `shift` off those in the text."""
+    out = [(t[0],) for t in toks if t[0] not in _SKIP]
+    if out and out[-1] == ("bad",):
+        out.pop()
+        i = toks[-1][1] - shift
+        if text.startswith("/*", i):
+            return "/*", out
+        if text[i] == '"':
+            return _quoted(text, i + 1, 0, "")[1] or None, out
+        m = _HEREDOC.match(text, i)
+        return (f"<<<{m[1]}" if m else text[i] if text[i] in _ENDS else None), out
+    if out and out[-1] == ("__halt_compiler",):
+        return "halted", out
+    # Outside tags where the last token is text or a closing tag.
+    return (state if not toks else "html" if toks[-1][0] in ("inline", "close") else "php"), out
+
+
+_START = itemgetter(1)
+
+
+#: By language: states, the first of which is that of a file's start; states a file may end in; reader of a chunk.
+_LEXERS = {
+    "php": (STATES, ("html", "php", "halted"), php_scan),
+    "js": (js_grammar.STATES, ("start", ("code", False), ("code", True)), js_grammar.scan),
+    "json": (data_grammars.JSON_STATES, ("code",), data_grammars.json_scan),
+    "sql": (data_grammars.SQL_STATES, ("code",), data_grammars.sql_scan),
+}
+
+
+def _summary(scan: Callable, state: Hashable, text: str) -> Summary | None:
+    end, toks = scan(state, text)
+    if end is None:
+        return None
+    closers: list[tuple[str, int]] = []
+    openers: list[tuple[str, int]] = []
+    pairs: list[tuple[int, int]] = []
+    for i, t in enumerate(toks):
+        kind = t[0]
+        if kind not in _BRACKETS:
+            continue
         if kind in _CLOSE:
-            openers.append(_CLOSE[kind])
-        elif kind in (")", "]", "}"):
-            if openers:
-                if openers.pop() != kind:
-                    return None
-            else:
-                closers.append(kind)
-        elif kind in ("open", "open_echo"):
-            end = "php"
-        elif kind == "close":
-            end = "html"
-        elif kind == "bad":
-            rest = (shift + text)[i:]
-            here = re.match(r"<<<[ \t]*[\"']?(\w+)", rest)
-            end = f"<<<{here[1]}" if here else next((q for q in _ENDS if rest.startswith(q)), "bad")
-            if end == "bad":
-                return None
-    return end, tuple(closers), tuple(openers)
+            openers.append((_CLOSE[kind], i))
+        elif not openers:
+            closers.append((kind, i))
+        elif openers[-1][0] == kind:
+            pairs.append((openers.pop()[1], i))
+        else:
+            return None
+    return Summary(end, tuple(toks), tuple(closers), tuple(openers), tuple(sorted(pairs)))
 
 
-def chunk_map(text: str, labels: tuple[str, ...] = ()) -> Map:
-    """The lexer-state map of a chunk; `labels` are the heredoc labels of the file, each a further state."""
-    return {s: _scan(s, text) for s in (*STATES, *(f"<<<{x}" for x in labels))}
+def chunk_map(text: str, labels: tuple[str, ...] = (), lang: str = "php", first: bool = False) -> Map:
+    """The lexer-state map of a chunk; `labels` are heredoc labels, each a further state. The first chunk of a file has one state."""
+    states, _, scan = _LEXERS[lang]
+    if lang == "php" and not first:
+        scan = partial(php_scan, read={})
+    return Map(states[:1] if first else (*states, *(f"<<<{x}" for x in labels)), lambda s: _summary(scan, s, text))
 
 
 def combine(a: Map, b: Map) -> Map:
     """Associative: the map of two neighbouring chunks."""
-    out: Map = {}
-    for s, x in a.items():
-        y = b.get(x[0]) if x is not None else None
-        out[s] = _join_brackets(x, y)
-    return out
-
-
-def balanced(text: str, size: int = CHUNK) -> bool:
-    """Whether PHP text ends in a sound lexer state with all brackets matched, by reducing its chunks."""
-    parts = chunks(text, size)
-    if len(parts) == 1:
-        done = _scan("html", text)
-    else:
-        labels = tuple(sorted(set(re.findall(r"<<<[ \t]*[\"']?([A-Za-z_\x80-\U0010ffff]\w*)", text))))
-        done = reduce(combine, (chunk_map(p, labels) for p in parts))["html"]
-    return done is not None and done[0] in ("html", "php") and not done[1] and not done[2]
 
+    def make(state: Hashable) -> Summary | None:
+        x = a[state]
+        return None if x is None else _join(x, b[x.end])
+
+    return Map(a.states, make)
 
-def first_failure(lang: str | None, text: str) -> str | None:
+
+def reduced(lang: str, text: str, size: int = CHUNK) -> Summary | None:
+    """The whole text read by reducing its chunks pairwise; None unless it ends in a sound state with all brackets matched."""
+    maps = [chunk_map(c, (), lang, not i) for i, c in enumerate(chunks(text, size))]
+    while len(maps) > 1:
+        maps = [combine(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    states, ends, _ = _LEXERS[lang]
+    done = maps[0][states[0]]
+    return done if done is not None and done.end in ends and not done.closers and not done.openers else None
+
+
+def balanced(text: str, size: int = CHUNK, lang: str = "php") -> bool:
+    """Whether text ends in a sound lexer state with all brackets matched, by reducing its chunks."""
+    return reduced(lang, text, size) is not None
+
+
+def first_failure(lang: str | None, text: str, size: int = CHUNK) -> str | None:
     """Why `text` is not grammatical `lang`, or None; languages without a grammar pass."""
-    if lang == "php":
-        if len(text) > CHUNK and not balanced(text):
-            return "unbalanced"
-        e = grammar.first_error(text)
-        return None if e is None else f"line {text.count(chr(10), 0, e[0]) + 1}: {e[1]}"
-    check = {"js": js_grammar.parses, "json": data_grammars.json_parses, "yml": data_grammars.yaml_parses, "sql": data_grammars.sql_parses}.get(lang)
-    return None if check is None or check(text) else "not grammatical"
+    if lang == "yml":
+        return None if data_grammars.yaml_parses(text) else "not grammatical"
+    if lang not in _LEXERS:
+        return None
+    done = reduced(lang, text.removeprefix("\ufeff"), size)
+    if done is None:
+        message = "not balanced"
+    elif lang == "php":
+        message = grammar.kinds_error([t[0] for t in done.toks], _partner(done))
+    elif lang == "json":
+        message = None if data_grammars.json_parses(text) else "not grammatical"
+    else:
+        parses = js_grammar.parses_tokens if lang == "js" else data_grammars.sql_parses_tokens
+        message = None if parses(list(done.toks), _partner(done)) else "not grammatical"
+    if message and lang == "php" and (e := grammar.first_error(text)):  # only for its line
+        return f"line {text.count(chr(10), 0, e[0]) + 1}: {e[1]}"
+    return message
+
+
+def _partner(done: Summary) -> dict[int, int]:
+    return dict(done.pairs)
 
 
 def parse_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -962,6 +962,21 @@ def brackets(kinds: list[str]) -> dict[int, int]:
     return partner
 
 
+def kinds_error(kinds: list[str], partner: dict[int, int]) -> str | None:
+    """Message of the first grammar error of code kinds (neither white space nor comments) with matched brackets, or None."""
+    if not any(x in ("open", "open_echo") for x in kinds):
+        return "no opening tag"
+    try:
+        _Span([*kinds, "eof"], partner).statements(0, len(kinds))
+    except Bad as e:
+        return e.message
+    except (IndexError, KeyError):
+        return "unexpected end"
+    except RecursionError:
+        return "nested too deeply"
+    return None
+
+
 def first_error(text: str, toks: list[tuple[str, int, int]] | None = None) -> tuple[int, str] | None:
     """(character offset, message) of the first grammar error, or None. Text without any opening tag is an error."""
     toks = tokens(text) if toks is None else toks

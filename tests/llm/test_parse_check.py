@@ -73,3 +73,24 @@ def test_found_with_nulls_empties_rescans_and_clashing_columns(spark, file_table
             (7, None, "p/g.js", "var a = 1"), (8, "p", "p/h.lock", "{}"), (9, "p", "p/i.php", None), (2, "p", "p/b.PHP", "<?php $a = ;"), (10, "p", "p/k.php", "<?php\n" + "$a = [1, 2];\n" * 9000), (11, "p", "p/l.php", "<?php\n" + "$a = [1, 2];\n" * 9000 + "{")]
     assert sorted(r.file_id for r in pc.found(spark, file_tables(rows)).collect()) == [2, 3, 5, 11]
     assert pc.found(spark, file_tables([])).count() == 0
+
+
+HALT = "<?php\n" + "$a = [1, 2];\n" * 9000 + "__halt_compiler();\n" + "data } ) {\n" * 20
+SPLIT = [("php", "<?php\n$a = \"x\n{$b[\"k\n\"]}\n\";\n$c = <<<EOT\n } \nEOT;\n/* ( \n */ f(\n1\n);\n?>\nhtml {\n<?= 1 ?>\n", True), ("php", "<?php\nf([\n1\n)];\n", False), ("php", "<?php\n__halt_compiler();\n} ' \n", True),
+         ("js", "#!x\nlet a = `t\n${b + `u\n${'}'}`}\n`\n/* { \n */ f(\n/[(]/)\nvar s = 'q\\\nr'\nx = {a}\n/'b\n", False), ("js", "let a = `t\n${b + `u\n${'}'}`}\n`\n/* { \n */ f(\n/[(]/)\nvar s = 'q\\\nr'\nreturn_\n", True), ("js", "a = 1\n#!x\n", False),
+         ("json", '{"a": [\n"}",\n1\n]}\n', True), ("json", '{"a": [\n1\n}]\n', False), ("sql", "/* ( \n*/ INSERT INTO t (a,\nb) VALUES ('it''s\n)', 2);\n-- (\nSELECT 1;\n", True), ("sql", "SELECT (\n1;\n", False), ("sql", "SELECT a /* (\n", False)]
+
+
+@pytest.mark.parametrize("lang,text,good", SPLIT)
+@pytest.mark.parametrize("size", [1, 12, 1 << 20])
+def test_every_language_by_its_maps(lang, text, good, size):
+    assert (pc.first_failure(lang, text, size) is None) == good
+
+
+def test_files_of_usual_length_are_reduced(monkeypatch):
+    assert pc.first_failure("php", HALT) is None
+    joined = []
+    monkeypatch.setattr(pc, "combine", lambda a, b, f=pc.combine: joined.append(1) or f(a, b))
+    for lang, text in (("php", "<?php\n" + "$a = [1];\n" * 400), ("js", "a = [1];\n" * 400), ("json", "[\n" + "1,\n" * 900 + "1]"), ("sql", "SELECT (1);\n" * 400)):
+        joined.clear()
+        assert pc.first_failure(lang, text) is None and joined, lang
