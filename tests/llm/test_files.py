@@ -80,3 +80,16 @@ def test_nulls_in_every_column(spark, file_tables):
         assert found(spark, d).count() == 0, found.__module__
     assert {(r.scope, r.subject, r.license_id) for r in licenses.found(spark, d).collect()} == {("repo", "p", "UNKNOWN"), ("file", "p/a.php", "UNKNOWN")}
     assert credentials.redacted(spark, d).count() == 3
+
+
+def test_every_word_of_a_comment_is_a_candidate():
+    rng = random.Random(7)
+    detect = credentials.Detector(credentials.fit([(f"p/config/{i}.php", _file(rng, i % 3 == 0)[0] + "// The token reader keeps string|null $entry in the order they arrived, see CursorLoader::run().\n") for i in range(240)]))
+    for text, secret in (("// hasta el cambio se entra con la clave vS!YsQjuDcTTf en pruebas", "vS!YsQjuDcTTf"), ("/* the password is kQ(w,Zt;Rb)xLd for now */", "kQ(w,Zt;Rb)xLd"),
+                         ("// see ftp://bot:oXkNqNayIeAORF@host.test and ask", "oXkNqNayIeAORF"), ("# Authorization: Bearer qWeRtYuIoPlKjHgF", "qWeRtYuIoPlKjHgF"), ("// GET /v1?api_key=AbCdEfGhIjKl", "AbCdEfGhIjKl")):
+        code = f"<?php\n{text}\n$a = 1;\n"
+        spans = detect("p/src/a.php", code)
+        assert [code[a:b] for a, b, *_ in spans] == [secret] and secret not in credentials.redact(code, spans), text
+    for text in ("// The token reader rejects the cassÃ©es rÃ©fÃ©rences.", "// Basic validation of the access token", "/** @param string|null $token the TokenBuilder::make() result, don't keep */", "// das Passwort prüfen, dann zählt der Schlüssel", "// 检查密码，然后继续"):
+        assert not detect("p/src/a.php", f"<?php\n{text}\n$a = 1;\n"), text
+    assert {"x7Kq", "vS!Y"} <= {c[2] for c in credentials.candidates("php", "<?php // pw x7Kq vS!Y\n")}
