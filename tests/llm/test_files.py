@@ -93,3 +93,11 @@ def test_every_word_of_a_comment_is_a_candidate():
     for text in ("// The token reader rejects the cassÃ©es rÃ©fÃ©rences.", "// Basic validation of the access token", "/** @param string|null $token the TokenBuilder::make() result, don't keep */", "// das Passwort prüfen, dann zählt der Schlüssel", "// 检查密码，然后继续"):
         assert not detect("p/src/a.php", f"<?php\n{text}\n$a = 1;\n"), text
     assert {"x7Kq", "vS!Y"} <= {c[2] for c in credentials.candidates("php", "<?php // pw x7Kq vS!Y\n")}
+
+
+def test_whole_values_and_whole_files_are_read():
+    plain = "the_ordinary_start_of_a_value_" * 3
+    markov = credentials.Markov({"the_ordinary_start_of_a_value": 50})
+    assert markov(plain + "xQ9!zK7#" * 20) > 2 * markov(plain)
+    late = "<?php\n" + "// aaaa aaaa\n" * 500 + "zqzqzqzq();\n" * 500
+    assert credentials.fit([("p/a.php", late)])[0]("zqzqzqzq") < 1.5
