@@ -1,7 +1,8 @@
 """Problem 3: generated, minified or vendored source files.
 
-Each file is lexed and emitted again in canonical form (a line per statement or
-block edge); the original layout is held against it. Extreme expansion marks
+No canonical text is emitted: for PHP and JavaScript the lines it would have (one
+per statement or block edge) are counted, strings blanked, and held against the
+lines there are; the other languages have no such count. Extreme expansion marks
 minified code, perfect uniformity (one line shape, or members counted through
 without a word of comment) generated code, dominance of literals bulk data.
 Vendored copies show in the root namespace: each project has one of its own,
