@@ -4,7 +4,10 @@ License notices are found through an inverted index of token shingles that
 occur in one template only; a candidate is confirmed by aligning the token
 sequences, with its coverage and the clauses that differ. Names of licences
 count in any spelling: ids, titles and the usual short forms, with a version
-only where one is given, and "or later" only where it stands.
+only where one is given, and "or later" only where it stands. A name is
+confirmed the same way: the words around it must align to a granting phrase,
+with nothing but filler between and no negation before, or it must stand alone
+like a title; a name in other prose is no evidence.
 
 Ids offered as a choice are joined by OR; several others by AND, as a conflict.
 Files without evidence, or that only point to their project's licence, take the
@@ -48,14 +51,41 @@ SPELLINGS = {
 }
 _GNU = re.compile(
     r"\b(?:GNU )?(?P<kind>(?:Affero |Lesser |Library )?General Public Licen[cs]e|[AL]?GPL)(?:[- ,]*(?:v(?:ersion|\.)? ?)?(?P<version>[123])(?:\.0)?)?"
-    r"(?P<later>\+|[- ,]+(?:\(?at your option\)? )?or (?:\(?at your option\)? )?(?:any )?(?:later|newer)(?: version)?|-or-later)?(?P<only>[- ]only)?\b(?!\.\d)", re.I)
+    r"(?P<later>\+|[- ,]+(?:\(?at your option\)? )?or (?:\(?at your option\)? )?(?:any )?(?:later|newer)(?: version)?|-or-later)?(?P<only>[- ]only)?(?!\w|\.\d)", re.I)
 _OTHER_TERMS = re.compile(r"(?:\b(?:licensed|released|distributed|published|covered)\b.{0,40}?\b(?:under|by)\b|spdx-license-identifier:|@licen[cs]e\b|\blicen[cs]e:)", re.I)
 _POINTER = re.compile(r"\b(?:see|read|in|refer to|consult)\b.{0,40}\blicen[cs]e\b.{0,60}\b(?:shipped|beside|with this|distributed|details|full|project|root|file)\b|\bfile licen[cs]e\b|\bthe licen[cs]e (?:shipped|file)\b", re.I)
 _CHOICE = re.compile(r"^[\s,;)\"']*(?:\b(?:or|oder|ou)\b|/|\|\|?)[\s(\"']*(?:(?:the|under the|at your option)\s+)*$", re.I)
 _OFFER = re.compile(r"\b(?:choose|choice|either|whichever|at your option|dual[- ]licen[cs]ed|pick)\b", re.I)
+#: Phrases that grant, read up to a name and from a name on (fixed values).
+_GRANTS = tuple(tuple(p.split()) for p in (
+    "licensed under", "licenced under", "relicensed under", "released under", "distributed under", "published under", "available under", "offered under", "provided under",
+    "governed by", "covered by", "subject to", "licensed as", "protected by", "terms of", "choose between", "choice of", "dual licensed", "either", "spdx license identifier", "license", "licence",
+    "licenses", "licences", "source is", "code is", "file is", "software is", "program is", "work is", "package is", "closed and"))
+_GRANTED = tuple(tuple(p.split()) for p in ("licensed", "code", "software", "source", "all rights reserved", "license applies", "applies", "whichever suits", "at your option"))
+#: Words that may stand between a phrase and the name, and between names that are listed.
+_FILLER = frozenset("a an the this that these its our your of under to by in terms conditions term license licence version either both and or as well oder ou at option only".split())
+_NEGATION = re.compile(r"\b(?:not|never|no|nor|cannot|isn|aren|wasn|without|longer|formerly|previously|unlike|except|instead|incompatible|once|was|were)\b", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _CONTEXT = re.compile(r"(?:spdx-license-identifier:|@licen[cs]e\b)([^\n]*)", re.I)
 
+_STOP = re.compile(r"[.;](?:\s|\Z)")
+#: Name and version of a package, as in the first line of a built file.
+_BANNER = re.compile(r"\bv?\d+\.\d[\d.]*\s*\|\s*$")
+
+
+def _aligns(words: list[str], phrase: tuple[str, ...]) -> bool:
+    """Whether `phrase` is read from the start of `words` with nothing but filler skipped."""
+    k = 0
+    for w in words:
+        if w == phrase[k]:
+            k += 1
+            if k == len(phrase):
+                return True
+        elif w not in _FILLER:
+            return False
+    return False
+
+
 Group = tuple[str, ...]  # ids of one statement; more than one are a choice
 
 
@@ -134,12 +164,29 @@ class Matcher:
                 kept.append(f)
         return sorted(kept)
 
+    def confirmed(self, text: str, named: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """Those of `named` whose surroundings align to a granting phrase, or that stand alone."""
+        kept: list[tuple[int, int, str]] = []
+        for k, (a, b, i) in enumerate(named):
+            lo = max(text.rfind(". ", 0, a), text.rfind("\n", 0, a), text.rfind("; ", 0, a)) + 1
+            hi = min(x for x in (text.find("\n", b), *(m.start() for m in _STOP.finditer(text, b)), len(text)) if x >= 0)
+            if k and kept and kept[-1] == named[k - 1] and set(_WORD.findall(text[named[k - 1][1] : a].lower())) <= _FILLER and ". " not in text[named[k - 1][1] : a]:
+                kept.append(named[k])
+                continue
+            before, after = text[lo:a], _WORD.findall(text[b:hi].lower())
+            words = _WORD.findall(before.lower())
+            alone = not set(words) - _FILLER and not set(after) - _FILLER or bool(_BANNER.search(before))
+            granted = any(_aligns(words[::-1], p[::-1]) for p in _GRANTS) or any(_aligns(after, p) for p in _GRANTED)
+            if alone or (granted and not _NEGATION.search(before)):
+                kept.append(named[k])
+        return kept
+
     def _groups(self, text: str) -> tuple[Group, ...]:
         """What a text offers: one group a statement; a group of OTHER for terms that are not known."""
         out: list[Group] = [(i,) for i, _, _ in self.notices(text)]
-        # Lines are joined, but tags stay apart: what stands behind one ends with its line.
-        flat = re.sub(r"[ \t]*\n[ \t]*(?!@|spdx)" if _CONTEXT.search(text) else r"[ \t]*\n[ \t]*", " ", text, flags=re.I)
-        named = self.names(flat)
+        # Lines of a paragraph are joined, but tags stay apart: what stands behind one ends with its line.
+        flat = re.sub(r"(?<!\n)\n(?!\n|@|spdx)" if _CONTEXT.search(text) else r"(?<!\n)\n(?!\n)", " ", re.sub(r"[ \t]*\n[ \t]*", "\n", text), flags=re.I)
+        named = self.confirmed(flat, self.names(flat))
         run: list[str] = []
         for k, (a, b, i) in enumerate(named):
             if k:
@@ -154,7 +201,7 @@ class Matcher:
         if run:
             out.append(tuple(run))
         groups = sorted({tuple(sorted({i for i in g if i != OTHER})) for g in out} - {()})
-        if not groups and (any(OTHER in g for g in out) or (_OTHER_TERMS.search(text) and not _POINTER.search(text))):
+        if not groups and (any(OTHER in g for g in out) or (any(not _NEGATION.search(text[max(0, m.start() - 20) : m.start()]) for m in _OTHER_TERMS.finditer(text)) and not _POINTER.search(text))):
             return ((OTHER,),)
         return tuple(groups)
 

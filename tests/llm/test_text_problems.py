@@ -40,6 +40,8 @@ def test_licenses(spark, file_tables):
         ("points", h("See the license shipped with this project."), "MIT", "no"), ("other", h("Distributed under the Harbour Terms as agreed."), "UNKNOWN", "no"),
         ("gpl", h("Released under the GPLv3 or later."), "GPL-3.0-or-later", "yes"), ("gplonly", h("GNU GPL version 3"), "GPL-3.0-only", "yes"),
         ("notice", h(REFS[1][2].upper().replace(" TOGETHER", "\n * together") + ", and no more than that"), "Apache-2.0", "yes"), ("typo", h(REFS[2][2].replace("edition of", "editoin of")), "GPL-3.0-only", "yes"),
+        ("plus", h("It is covered by the GPL-3.0+; see there."), "GPL-3.0-or-later", "yes"), ("prose", h("Written at Apache 2.0 speed, not licensed under the GPL version 3."), "MIT", "no"),
+        ("word", h("This proprietary protocol parser reads frames."), "MIT", "no"), ("title", h("Apache License 2.0\n *\n * Copyright 2020 A"), "Apache-2.0", "yes"),
         ("null", None, "MIT", "no"), ("empty", "", "MIT", "no"), ("pick", h("You may choose between the MIT License and the Apache License 2.0, whichever suits you."), "Apache-2.0 OR MIT", "no")]
     rows = [(i, "p", f"p/{n}.php", c) for i, (n, c, _, _) in enumerate(files)] + [(99, "q", "q/x.php", h("SPDX-License-Identifier: MIT")), (98, "u", "u/x.php", "<?php\n"), (0, "p", "p/mit.php", None)]
     repo = [("p", "p/LICENSE", REFS[0][2]), ("p", "p/LICENSE", REFS[0][2]), ("p", "p/README.md", None), ("q", "q/composer.json", '{"license": ["GPL-3.0-only", "Apache-2.0"]}'), (None, "z/LICENSE", "MIT License"),
