@@ -4,7 +4,10 @@ One recursive pattern takes comment, signature and balanced body together;
 strings, other comments and heredocs are alternatives of the same scan, so code
 inside them is never taken for code. The body is looked at, not consumed: named
 functions inside it are found too. A function of a broken file whose body never
-closes is paired without body.
+closes is paired without body; from the first such one on, brackets that never
+close are masked by one scan, so none of them is followed to the end again and
+a file takes time in proportion to its length (times the depth of functions
+that lie in each other).
 
 Pairs with an empty or trivial description are dropped: fewer than three words
 that are not in the function's name split at case changes, in Chinese and
@@ -36,12 +39,13 @@ _SCAN = regex.compile(
 (?P<doc>/\*\*(?=\s)[^*]*+(?:\*(?!/)[^*]*+)*+\*/)
 (?:\s++|(?P<attribute>\#\[(?:[^\[\]'"]++|{_TEXT}|(?P<brackets>\[(?:[^\[\]'"]++|{_TEXT}|(?&brackets))*+\]))*+\])|\b(?:public|protected|private|static|abstract|final|readonly)\b)*+
 \b(?P<word>function)\b(?:\s++|&)++(?P<name>{_ID})\s*+
-(?=(?P<signature>(?P<parens>\((?:[^()'"/\#`]++|{_TEXT}|{_COMMENT}|[/\#]|(?&parens))*+\))\s*+(?::\s*+[^{{;]*+)?)
+(?=(?P<signature>(?P<parens>\((?:[^()'"/\#`]++|{_TEXT}|{_COMMENT}|[/\#]|(?&parens))*+\))\s*+(?::\s*+[^{{;\x01]*+)?)
    (?P<body>\{{(?:[^{{}}'"/\#`<]++|{_TEXT}|{_COMMENT}|{_HEREDOC}|[/\#<]|(?&body))*+\}}|;)?|)
 |{_COMMENT}|{_TEXT}|{_HEREDOC}|\?>(?:(?!<\?(?:php\b|=)).)*+
 """,
     regex.X | regex.S,
 )
+_BRACKETS = regex.compile(rf"(?P<bracket>[(){{}}])|{_COMMENT}|{_TEXT}|{_HEREDOC}", regex.S)
 _PARAM = re.compile(r"@param\s+(?:(?P<type>[^\s$]+)\s+)?(?:&|\.\.\.)*(?P<name>\$\w+)?[ \t]*(?P<text>.*)", re.S)
 _INLINE = re.compile(r"\{@[^}]*\}", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,9 +92,35 @@ def functions(content: str):
     start = re.search(r"<\?(?:php\b|=)", content, re.I)
     if not start:
         return
-    for m in _SCAN.finditer(content, start.start()):
-        if m["name"]:
+    at, text, masked = start.start(), content, False
+    closed = content.rfind("*/") + 2
+    if "/*" in content[closed:]:  # comments that never close
+        text = content[:closed] + content[closed:].replace("/*", "/\x01")
+    while at >= 0:
+        scan, at = _SCAN.finditer(text, at), -1
+        for m in scan:
+            if not m["name"]:
+                continue
             yield m.start("word"), m["name"], m["doc"], m["signature"], m["body"]
+            if not masked and not m["body"]:
+                text, masked, at = mask_unclosed(text, start.start()), True, m.end()
+                break
+
+
+def mask_unclosed(text: str, start: int = 0) -> str:
+    """`text` with each round or curly bracket that never closes replaced, lengths kept."""
+    stacks: dict[str, list[int]] = {"(": [], "{": []}
+    for m in _BRACKETS.finditer(text, start):
+        c = m["bracket"]
+        if c in stacks:
+            stacks[c].append(m.start())
+        elif c and stacks["(" if c == ")" else "{"]:
+            stacks["(" if c == ")" else "{"].pop()
+    out, i = [], 0
+    for at in sorted(stacks["("] + stacks["{"]):
+        out += (text[i:at], "\x01")
+        i = at + 1
+    return "".join((*out, text[i:]))
 
 
 def _pairs(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:

@@ -77,3 +77,20 @@ def test_truncation(spark, make_tables):
     rates = {r.source: (r.texts, r.truncated) for r in truncation.rates(spark, d).collect()}
     assert rates["m"] == (6, 5) and rates["c"] == (5, 0) and rates[""] == (1, 1)
     assert truncation.found(spark, make_tables(documents=("doc_id long, text string, source string", []))).count() == 0
+
+
+def test_unclosed_functions_take_linear_time():
+    """A megabyte of functions that never close is read in seconds, each still found; masking changes nothing else."""
+    import time
+
+    body = '/** Adds the two given values together. */\nfunction f%d(int $a) { if ($a) { $b = "x}"; } /* { */ foo($a);\n'
+    for unit in (body, '/** Adds the two given values together. */\nfunction f%d(int $a \n'):
+        text = "<?php\n" + "".join(unit % i for i in range(1_000_000 // len(unit)))
+        t = time.perf_counter()
+        got = list(pairs.functions(text))
+        assert time.perf_counter() - t < 20 and [x[1] for x in got] == [f"f{i}" for i in range(1_000_000 // len(unit))]
+        assert not any(x[4] for x in got)
+    closed = "/** Adds the two given values together. */\nfunction a() { return 1; }\n"
+    got = list(pairs.functions("<?php\n" + closed + body % 0 + closed.replace(" a(", " b(")))
+    assert [(x[1], x[4]) for x in got] == [("a", "{ return 1; }"), ("f0", None), ("b", "{ return 1; }")]
+    assert pairs.mask_unclosed("f(a { ( ) '(' }") == "f\x01a { ( ) '(' }"
