@@ -8,6 +8,8 @@ of the compiler.
 
 from __future__ import annotations
 
+import sys
+
 from quarrylens.php.lexer import KEYWORDS, tokens
 
 _SKIP = frozenset(("ws", "comment", "doc"))
@@ -945,6 +947,11 @@ _COMPOUND = {
 }
 
 
+def allow_depth(tokens: int) -> None:
+    """Lets a recursive grammar go as deep as so many tokens can nest; calls of Python functions take no C stack."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 40 * tokens))
+
+
 def brackets(kinds: list[str]) -> dict[int, int]:
     """Partner of each bracket; raises Bad at the first that has none."""
     partner: dict[int, int] = {}
@@ -966,14 +973,13 @@ def kinds_error(kinds: list[str], partner: dict[int, int]) -> str | None:
     """Message of the first grammar error of code kinds (neither white space nor comments) with matched brackets, or None."""
     if not any(x in ("open", "open_echo") for x in kinds):
         return "no opening tag"
+    allow_depth(len(kinds))
     try:
         _Span([*kinds, "eof"], partner).statements(0, len(kinds))
     except Bad as e:
         return e.message
     except (IndexError, KeyError):
         return "unexpected end"
-    except RecursionError:
-        return "nested too deeply"
     return None
 
 
@@ -988,6 +994,7 @@ def first_error(text: str, toks: list[tuple[str, int, int]] | None = None) -> tu
         return code[-1][1], "not a token"
     kinds.append("eof")
     code.append(("eof", len(text), len(text)))
+    allow_depth(len(kinds))
     try:
         _Span(kinds, brackets(kinds)).statements(0, len(kinds) - 1)
     except Bad as e:
@@ -995,6 +1002,4 @@ def first_error(text: str, toks: list[tuple[str, int, int]] | None = None) -> tu
         return code[at][1], e.message
     except (IndexError, KeyError):
         return len(text), "unexpected end"
-    except RecursionError:
-        return 0, "nested too deeply"
     return None
