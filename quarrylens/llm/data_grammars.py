@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from quarrylens.php.grammar import Bad as BracketError
-from quarrylens.php.grammar import brackets
-
-
-def json_parses(text: str) -> bool:
-    """RFC 8259 JSON; a byte order mark is fine, NaN and Infinity are not."""
-
-    def refuse(_: str) -> None:
-        raise ValueError
-
-    try:
-        json.loads(text.removeprefix("﻿"), parse_constant=refuse)
-    except (ValueError, RecursionError):
-        return False
-    return True
+from quarrylens.php.grammar import allow_depth, brackets
 
 
 # ---------------------------------------------------------------- YAML
@@ -243,9 +229,10 @@ def yaml_parses(text: str) -> bool:
     """Block and flow structure of YAML 1.2; the empty stream is fine."""
     if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text):
         return False
+    allow_depth(len(text))
     try:
         _Yaml(text).parse()
-    except (_Bad, RecursionError):
+    except _Bad:
         return False
     return True
 
@@ -339,24 +326,62 @@ def sql_parses(text: str) -> bool:
         return False
 
 
-# ---------------------------------------------------------------- JSON as pieces
+# ---------------------------------------------------------------- JSON
 JSON_STATES = ("code", '"')
-_JSON = re.compile(r'(?P<str>"(?:[^"\\]|\\.)*+")|(?P<open>")|[\[\]{}]', re.S)
+_JSON = re.compile(
+    r"""(?P<ws>[ \t\r\n]+)|(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<odd>"(?:[^"\\]|\\.)*+")|(?P<open>")
+|(?P<num>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.+-]))|(?P<word>(?:true|false|null)\b)|(?P<op>[\[\]{}:,])|(?P<bad>[^\s"\[\]{}:,]+|\s)""",
+    re.X | re.S | re.A)
 _JSON_REST = re.compile(r'(?:[^"\\]|\\.)*+"', re.S)
+_JSON_TOKENS = {k: (k,) for k in ("str", "num", "word", "bad", "[", "]", "{", "}", ":", ",")}
 
 
 def json_scan(state: str, text: str) -> tuple[str, list[tuple[str]]]:
-    """(end state, brackets outside strings) of a piece."""
+    """(end state, kinds of tokens) of a piece; a string over lines, or with what JSON does not know, is `bad`."""
     i = 0
+    out: list[tuple[str]] = []
     if state == '"':
         m = _JSON_REST.match(text)
         if not m:
             return state, []
         i = m.end()
-    out: list[tuple[str]] = []
+        out.append(_JSON_TOKENS["bad"])
     for m in _JSON.finditer(text, i):
-        if m.lastgroup == "open":
+        kind = m.lastgroup
+        if kind == "open":
             return '"', out
-        if not m.lastgroup:
-            out.append((m.group(),))
+        if kind != "ws":
+            out.append(_JSON_TOKENS[m.group() if kind == "op" else "bad" if kind == "odd" else kind])
     return "code", out
+
+
+#: What may follow: (kind of token, whether within an object) to the place after it; the places are named by what they wait for (fixed values).
+_JSON_NEXT = {"value": ("str", "num", "word"), "first value": ("str", "num", "word"), "key": ("str",), "first key": ("str",)}
+
+
+def json_parses_tokens(toks: list[tuple[str]], partner: dict[int, int] | None = None) -> bool:
+    """RFC 8259 grammar of tokens, one value; an explicit stack, so any depth is fine."""
+    stack: list[str] = []
+    want = "value"
+    for (k,) in toks:
+        if want.endswith("value") and k in "[{":
+            stack.append(k)
+            want = "first value" if k == "[" else "first key"
+        elif k in _JSON_NEXT.get(want, ()):
+            want = "colon" if want.endswith("key") else "comma"
+        elif k == ":" and want == "colon":
+            want = "value"
+        elif k == "," and want == "comma" and stack:
+            want = "value" if stack[-1] == "[" else "key"
+        elif k in ("]", "}") and want in ("comma", "first value" if k == "]" else "first key") and stack and stack[-1] == ("[" if k == "]" else "{"):
+            stack.pop()
+            want = "comma"
+        else:
+            return False
+    return want == "comma" and not stack
+
+
+def json_parses(text: str) -> bool:
+    """RFC 8259 JSON; a byte order mark is fine, NaN and Infinity are not."""
+    end, toks = json_scan("code", text.removeprefix("\ufeff"))
+    return end == "code" and json_parses_tokens(toks)

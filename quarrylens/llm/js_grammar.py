@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from quarrylens.php.grammar import Bad as BracketError
-from quarrylens.php.grammar import brackets
+from quarrylens.php.grammar import allow_depth, brackets
 
 _ID = r"[A-Za-z_$\x80-\U0010ffff][0-9A-Za-z_$\x80-\U0010ffff]*"
 _LEX = re.compile(
@@ -570,9 +570,10 @@ class _Parser:
 
 def parses_tokens(toks: list[tuple[str, str, bool]], partner: dict[int, int]) -> bool:
     """Whether tokens with matched brackets are a script or module."""
+    allow_depth(len(toks))
     try:
         _Parser(toks, partner).program()
-    except (Bad, IndexError, KeyError, RecursionError):
+    except (Bad, IndexError, KeyError):
         return False
     return True
 

@@ -6,16 +6,21 @@ state it ends in, the tokens in between, the pairs of brackets and the brackets
 left over. Maps combine associatively and are reduced pairwise; the first chunk
 starts in the first state of its language. States that nest without bound
 (code within strings, heredoc labels) enter a map when a neighbour ends in
-them. The reduced tokens and bracket pairs are what the local grammar of the
-language parses, statement by statement. YAML has its structure in indentation,
-not in brackets: it has no maps and is read line by line.
-
-Null content gives no row; an empty text parses in every language but PHP and
+them. Chunks are reduced in two steps: within segments of about SEGMENT
+characters, which are spread over partitions whatever file they belong to, and
+then the maps of a file's segments in order. A file of one segment needs no
+second step, so only longer ones are shuffled. The reduced tokens and bracket
+pairs are what the local grammar of the language parses, statement by
+statement. YAML has its structure in indentation, not in brackets: it has no
+maps and is read line by line.
+
+Brackets may nest to any depth. Null content gives no row; an empty text parses in every language but PHP and
 JSON, where it has no opening tag or value.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Hashable
@@ -35,6 +40,8 @@ from quarrylens.sources.tables import table
 
 #: Characters a chunk holds at least, but for the last.
 CHUNK = 1 << 10
+#: Characters a segment holds at least, but for the last.
+SEGMENT = 1 << 18
 _CLOSE = {"(": ")", "[": "]", "{": "}", "attr": "]"}
 _ENDS = {"'": re.compile(r"[^'\\]*(?:\\.[^'\\]*)*'", re.S), "`": re.compile(r"[^`\\]*(?:\\.[^`\\]*)*`", re.S), "/*": re.compile(r".*?\*/", re.S)}
 _BRACKETS = frozenset((*_CLOSE, *_CLOSE.values()))
@@ -56,8 +63,8 @@ class Summary(NamedTuple):
 class Map(dict):
     """Summaries by start state, for `states` at once and for others when asked for."""
 
-    def __init__(self, states: tuple, make: Callable[[Hashable], Summary | None]):
-        super().__init__((s, make(s)) for s in states)
+    def __init__(self, states: tuple, make: Callable[[Hashable], Summary | None], made: dict | None = None):
+        super().__init__(((s, make(s)) for s in states) if made is None else made)
         self.states, self.make = states, make
 
     def __missing__(self, state: Hashable) -> Summary | None:
@@ -175,7 +182,7 @@ def php_scan(state: Hashable, text: str, read: dict[int, tuple] | None = None) -
 
 def _php_tokens(text: str, toks: list[tuple[str, int, int]], state: str, shift: int = 0) -> tuple[Hashable, list[tuple[str]]]:
     """End state and kinds of tokens whose places are `shift` off those in the text."""
-    out = [(t[0],) for t in toks if t[0] not in _SKIP]
+    out = [_ONE[t[0]] for t in toks if t[0] not in _SKIP]
     if out and out[-1] == ("bad",):
         out.pop()
         i = toks[-1][1] - shift
@@ -191,6 +198,15 @@ def _php_tokens(text: str, toks: list[tuple[str, int, int]], state: str, shift:
     return (state if not toks else "html" if toks[-1][0] in ("inline", "close") else "php"), out
 
 
+class _Ones(dict):
+    """One tuple a kind, so that the tokens of a long file are references only."""
+
+    def __missing__(self, kind: str) -> tuple[str]:
+        self[kind] = out = (kind,)
+        return out
+
+
+_ONE = _Ones()
 _START = itemgetter(1)
 
 
@@ -243,54 +259,119 @@ def combine(a: Map, b: Map) -> Map:
     return Map(a.states, make)
 
 
-def reduced(lang: str, text: str, size: int = CHUNK) -> Summary | None:
-    """The whole text read by reducing its chunks pairwise; None unless it ends in a sound state with all brackets matched."""
-    maps = [chunk_map(c, (), lang, not i) for i, c in enumerate(chunks(text, size))]
+def tree(maps: list[Map]) -> Map:
+    """Neighbouring maps reduced pairwise to one."""
     while len(maps) > 1:
         maps = [combine(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
+def segment_map(lang: str, text: str, first: bool, size: int = CHUNK) -> Map:
+    """The map of a segment, from those of its chunks; the first of a file has one state."""
+    return tree([chunk_map(c, (), lang, first and not i) for i, c in enumerate(chunks(text, size))])
+
+
+def settled(lang: str, whole: Map) -> Summary | None:
+    """A file's map read from its first state; None unless it ends in a sound state with all brackets matched."""
     states, ends, _ = _LEXERS[lang]
-    done = maps[0][states[0]]
+    done = whole[states[0]]
     return done if done is not None and done.end in ends and not done.closers and not done.openers else None
 
 
+def reduced(lang: str, text: str, size: int = CHUNK) -> Summary | None:
+    """The whole text read by reducing its chunks pairwise."""
+    return settled(lang, segment_map(lang, text, True, size))
+
+
 def balanced(text: str, size: int = CHUNK, lang: str = "php") -> bool:
     """Whether text ends in a sound lexer state with all brackets matched, by reducing its chunks."""
     return reduced(lang, text, size) is not None
 
 
-def first_failure(lang: str | None, text: str, size: int = CHUNK) -> str | None:
-    """Why `text` is not grammatical `lang`, or None; languages without a grammar pass."""
+def statements_failure(lang: str, done: Summary | None) -> tuple[str, str] | None:
+    """(stage, message) of what the maps or the local grammar of statements refuse, or None."""
+    if done is None:
+        return "maps", "not balanced"
+    if lang == "php":
+        message = grammar.kinds_error([t[0] for t in done.toks], dict(done.pairs))
+    else:
+        parses = {"js": js_grammar.parses_tokens, "json": data_grammars.json_parses_tokens, "sql": data_grammars.sql_parses_tokens}[lang]
+        message = None if parses(list(done.toks), dict(done.pairs)) else "not grammatical"
+    return ("statements", message) if message else None
+
+
+def failure(lang: str | None, text: str, size: int = CHUNK) -> tuple[str, str] | None:
+    """(stage, message) where `text` is not grammatical `lang`, or None; languages without a grammar pass."""
     if lang == "yml":
-        return None if data_grammars.yaml_parses(text) else "not grammatical"
+        return None if data_grammars.yaml_parses(text) else ("lines", "not grammatical")
     if lang not in _LEXERS:
         return None
-    done = reduced(lang, text.removeprefix("\ufeff"), size)
-    if done is None:
-        message = "not balanced"
-    elif lang == "php":
-        message = grammar.kinds_error([t[0] for t in done.toks], _partner(done))
-    elif lang == "json":
-        message = None if data_grammars.json_parses(text) else "not grammatical"
-    else:
-        parses = js_grammar.parses_tokens if lang == "js" else data_grammars.sql_parses_tokens
-        message = None if parses(list(done.toks), _partner(done)) else "not grammatical"
-    if message and lang == "php" and (e := grammar.first_error(text)):  # only for its line
-        return f"line {text.count(chr(10), 0, e[0]) + 1}: {e[1]}"
-    return message
+    got = statements_failure(lang, reduced(lang, text.removeprefix("\ufeff"), size))
+    if got and lang == "php" and (e := grammar.first_error(text)):  # only for its line
+        return got[0], f"line {text.count(chr(10), 0, e[0]) + 1}: {e[1]}"
+    return got
+
+
+def first_failure(lang: str | None, text: str, size: int = CHUNK) -> str | None:
+    """Why `text` is not grammatical `lang`, or None."""
+    got = failure(lang, text, size)
+    return got and got[1]
+
 
+def _pack(whole: Map, text: str) -> bytes:
+    return pickle.dumps((whole.states, dict(whole), text), protocol=5)
 
-def _partner(done: Summary) -> dict[int, int]:
-    return dict(done.pairs)
 
+def _unpack(lang: str, data: bytes) -> Map:
+    """A segment's map; states that only a neighbour brings up are read from its text."""
+    states, made, text = pickle.loads(data)
+    return Map(states, lambda s: tree([Map((), lambda s, c=c: _summary(_LEXERS[lang][2], s, c)) for c in chunks(text)])[s], made)
 
-def parse_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, project, lang, failure): one row per file with content; failure is null where it parses."""
 
-    def make():
-        return lambda file_id, project, path, content: ((file_id, project, lang := language(path), first_failure(lang, content)),)
+def parse_results(spark: SparkSession, sf_dir: str, segment: int = SEGMENT) -> DataFrame:
+    """(file_id, project, lang, stage, failure): one row per file with content; failure is null where it parses.
 
-    rows = files(spark, sf_dir, "file_id", F.col("case_id").alias("project"), "path", "content")
-    return flat_map(rows, make, "file_id long, project string, lang string, failure string").dropDuplicates(["file_id"])
+    The stage is what refuses the file: `maps` (no sound end state, or brackets
+    that do not match), `statements` (the local grammar) or `lines` (YAML).
+    """
+    where = "file_id long, project string, lang string, stage string, failure string, no int"
+
+    def cut():
+        def rows(file_id, project, path, content):
+            lang = language(path)
+            parts = chunks(content.removeprefix("\ufeff"), segment) if lang in _LEXERS else ()
+            if len(parts) < 2:
+                yield file_id, project, lang, *(failure(lang, content) or (None, None)), 0, None
+            else:
+                for no, part in enumerate(parts):
+                    yield file_id, project, lang, None, None, no, part
+
+        return rows
+
+    def read():
+        return lambda file_id, project, lang, stage, why, no, part: (
+            (file_id, project, lang, stage, why, no, None if part is None else _pack(segment_map(lang, part, not no), part)),)
+
+    def settle():
+        def rows(file_id, project, lang, stage, why, maps):
+            if maps:
+                whole = tree([_unpack(lang, m["data"]) for m in sorted(maps, key=lambda m: m["no"])])
+                stage, why = statements_failure(lang, settled(lang, whole)) or (None, None)
+            yield file_id, project, lang, stage, why
+
+        return rows
+
+    # Few rows a batch, as one may hold a segment; short files are a few dozen bytes here.
+    parts = flat_map(files(spark, sf_dir, "file_id", F.col("case_id").alias("project"), "path", "content"), cut, f"{where}, part string", out_rows=256)
+    maps = flat_map(parts.dropDuplicates(["file_id", "no"]), read, f"{where}, data binary", out_rows=256)
+    one = maps.groupBy("file_id").agg(*(F.first(c).alias(c) for c in ("project", "lang", "stage", "failure")),
+                                      F.collect_list(F.when(F.col("data").isNotNull(), F.struct("no", "data"))).alias("maps"))
+    return flat_map(one, settle, "file_id long, project string, lang string, stage string, failure string")
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file that does not parse with the stage that refuses it and the first failure."""
+    return parse_results(spark, sf_dir).where(F.col("failure").isNotNull())
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": credentials.found,
         "p6_redacted": credentials.redacted,
         "p7_found": parse_check.found,
+        "p7_failures": parse_check.failures,
         "p7_rates": parse_check.rates,
         "p8_ids": encode.ids,
         "p9_containers": packing.containers,

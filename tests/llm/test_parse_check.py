@@ -94,3 +94,39 @@ def test_files_of_usual_length_are_reduced(monkeypatch):
     for lang, text in (("php", "<?php\n" + "$a = [1];\n" * 400), ("js", "a = [1];\n" * 400), ("json", "[\n" + "1,\n" * 900 + "1]"), ("sql", "SELECT (1);\n" * 400)):
         joined.clear()
         assert pc.first_failure(lang, text) is None and joined, lang
+
+
+def test_long_files_are_cut_over_partitions(spark, file_tables):
+    """Five megabytes of PHP in segments that any task may read, with strings, comments and heredocs over their edges."""
+    block = "<?php\n$a = [1, f(2)];\n$b = 'it\n) }';\n/* {\n ( */\n$c = <<<EOT\n } {$a[\"k\n\"]} (\nEOT;\nif ($x) {\n  g(\n1);\n}\n?>\ntext {\n"
+    long = block * (5_000_000 // len(block))
+    rows = [(1, "p", "p/a.php", long), (2, "p", "p/b.php", long + "<?php }\n"), (3, "p", "p/c.php", long + "<?php f(1 2);\n"), (4, "p", "p/d.php", "<?php f();"), (2, "p", "p/b.php", long + "<?php }\n"), (5, "p", "p/e.php", long + "<?php 'open\n")]
+    got = {r.file_id: (r.stage, r.failure) for r in pc.parse_results(spark, file_tables(rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: None, 2: "maps", 3: "statements", 4: None, 5: "maps"}
+
+
+def test_segments_of_any_size_agree(spark, file_tables):
+    rows = [(i, "p", f"p/{i}.{lang}", text) for i, (lang, text, _) in enumerate(SPLIT)]
+    for segment in (1, 30):
+        got = {r.file_id: r.failure is None for r in pc.parse_results(spark, file_tables(rows), segment).collect()}
+        assert got == {i: good for i, (_, _, good) in enumerate(SPLIT)}
+
+
+@pytest.mark.parametrize("lang,text", [("php", "<?php $a = " + "[" * 5000 + "]" * 5000 + ";"), ("js", "a = " + "[" * 5000 + "]" * 5000), ("json", "[" * 50_000 + "]" * 50_000), ("yml", "a: " + "[" * 500 + "]" * 500)])
+def test_no_depth_is_too_deep(lang, text):
+    assert pc.first_failure(lang, text) is None
+    assert pc.first_failure(lang, text.replace("]", "", 1)) is not None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["[", "]", "{", "}", ",", ":", '"a"', "1", "-0.5e3", "01", "null", "nul", " ", "\n", '"\\u12"', '"\\n"', "\"a\nb\""]), max_size=9))
+def test_json_agrees_with_the_standard_library(parts):
+    import json
+
+    text = "".join(parts)
+    try:
+        json.loads(text)
+        good = True
+    except ValueError:
+        good = False
+    assert json_parses(text) == good and (pc.first_failure("json", text, 1) is None) == good
