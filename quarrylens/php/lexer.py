@@ -25,8 +25,8 @@ _LINE = r"[^\r\n?]*(?:\?(?!>)[^\r\n?]*)*"
 _PHP = re.compile(
     rf"""(?P<ws>[ \t\r\n]+)
 |(?P<variable>\${_ID})
-|(?P<qid>(?:namespace)?\\{_ID}(?:\\{_ID})*|{_ID}(?:\\{_ID})+)
-|(?P<word>{_ID})
+|(?P<word>{_ID})(?P<qid>(?:\\{_ID})+)?
+|(?P<rooted>\\{_ID}(?:\\{_ID})*)
 |(?P<doc>/\*\*(?=[ \t\r\n])[^*]*(?:\*(?!/)[^*]*)*\*/)
 |(?P<comment>(?://|\#(?!\[)){_LINE}|/\*[^*]*(?:\*(?!/)[^*]*)*\*/)
 |(?P<open_comment>/\*)
@@ -36,12 +36,12 @@ _PHP = re.compile(
 |(?P<num>0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*
    |(?:[0-9]+(?:_[0-9]+)*)?\.[0-9]+(?:_[0-9]+)*(?:[eE][+-]?[0-9]+)?|[0-9]+(?:_[0-9]+)*\.?(?:[eE][+-]?[0-9]+)?)
 |(?P<heredoc><<<[ \t]*(?:"(?P<l1>{_ID})"|'(?P<l2>{_ID})'|(?P<l3>{_ID}))\r?\n)
-|(?P<cast>\([ \t]*(?:int|integer|bool|boolean|float|double|real|string|binary|array|object|unset)[ \t]*\))
+|(?P<cast>\([ \t]*(?i:int|integer|bool|boolean|float|double|real|string|binary|array|object|unset)[ \t]*\))
 |(?P<close>\?>(?:\r?\n)?)
 |(?P<attr>\#\[)
 |(?P<op><=>|\*\*=|\.\.\.|<<=|>>=|===|!==|\?\?=|\?->|&&|\|\||\?\?|\+\+|--|->|=>|::|==|!=|<>|<=|>=|<<|>>|[-+*/%.&|^]=|\*\*|[-+*/%=<>!.,;:?()\[\]{{}}&|^~@$\\])
 """,
-    re.X | re.S | re.I,
+    re.X | re.S,
 )
 _OPEN = re.compile(r"<\?(?:php(?=[ \t\r\n]|\Z)|=)", re.I)
 _INTERPOLATION = re.compile(r"\{\$|\$\{")
@@ -85,54 +85,66 @@ def heredoc_end(text: str, label: str, start: int) -> int:
 def tokens(text: str) -> list[tuple[str, int, int]]:
     """The whole text as tokens; see the module's docstring. An empty text has none."""
     out: list[tuple[str, int, int]] = []
-    add, match, i, n = out.append, _PHP.match, 0, len(text)
-    if text.startswith("﻿"):
+    i, n = 0, len(text)
+    if text.startswith("\ufeff"):
         i = 1
-    while i < n:
+    while 0 <= i < n:
         m = _OPEN.search(text, i)
         if not m:
-            add(("inline", i, n))
+            out.append(("inline", i, n))
             return out
         if m.start() > i:
-            add(("inline", i, m.start()))
-        i = m.end()
-        add(("open_echo" if m.group() == "<?=" else "open", m.start(), i))
-        while i < n:
-            m = match(text, i)
-            if not m:
+            out.append(("inline", i, m.start()))
+        out.append(("open_echo" if m.group() == "<?=" else "open", m.start(), m.end()))
+        i = _code(text, m.end(), out.append)
+    return out
+
+
+def _code(text: str, i: int, add) -> int:
+    """Adds the tokens of code from i on; gives the place behind the closing tag, or -1 where nothing more is read."""
+    n = len(text)
+    while i < n:
+        for m in _PHP.finditer(text, i):
+            if m.start() != i:
                 add(("bad", i, n))
-                return out
+                return -1
             kind, j = m.lastgroup, m.end()
             if kind == "word":
-                w = m.group().lower()
-                kind = w if w in KEYWORDS else "id"
+                kind = m.group()
+                if kind not in KEYWORDS:
+                    kind = kind.lower()
+                    if kind not in KEYWORDS:
+                        kind = "id"
             elif kind == "op":
                 kind = m.group()
-            elif kind == "dq" and _INTERPOLATION.search(text, i, j):
-                j = _double_quoted_end(text, text.index('"', i))
-                if j < 0:
-                    add(("bad", i, n))
-                    return out
+            elif kind == "dq":
+                if _INTERPOLATION.search(text, i, j):
+                    j = _double_quoted_end(text, text.index('"', i))
             elif kind == "heredoc" or kind in ("l1", "l2", "l3"):
                 kind = "heredoc"
                 j = heredoc_end(text, m["l1"] or m["l2"] or m["l3"], j)
-                if j < 0:
-                    add(("bad", i, n))
-                    return out
             elif kind == "open_comment":
-                add(("bad", i, n))
-                return out
+                j = -1
             elif kind == "shell":
                 kind = "dq"
-            elif kind == "qid" and m.group().lower().startswith("namespace\\"):
+            elif kind == "rooted":
                 kind = "qid"
+            if j < 0:
+                add(("bad", i, n))
+                return -1
             add((kind, i, j))
             i = j
             if kind == "close":
-                break
+                return i
             if kind == "__halt_compiler":
-                return out
-    return out
+                return -1
+            if j != m.end():  # the token ends elsewhere, so the scan starts again behind it
+                break
+        else:
+            if i < n:
+                add(("bad", i, n))
+            return -1
+    return -1
 
 
 def line_of(starts: list[int], offset: int) -> int:
