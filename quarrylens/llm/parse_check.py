@@ -39,7 +39,7 @@ from quarrylens.php.lexer import heredoc_end, tokens
 from quarrylens.sources.tables import table
 
 #: Characters a chunk holds at least, but for the last.
-CHUNK = 1 << 10
+CHUNK = 1 << 11
 #: Characters a segment holds at least, but for the last.
 SEGMENT = 1 << 18
 _CLOSE = {"(": ")", "[": "]", "{": "}", "attr": "]"}
