@@ -75,10 +75,26 @@ def test_truncation(spark, make_tables):
     d = make_tables(documents=("doc_id long, text string, source string, how string, n_chars string", [(*r, "x", "y") for r in rows]))
     assert sorted(r.doc_id for r in truncation.found(spark, d).collect()) == [2, 6, 7, 9, 11, 14, 200, 201, 202, 203, 204]
     rates = {r.source: (r.texts, r.truncated) for r in truncation.rates(spark, d).collect()}
-    assert rates["m"] == (6, 5) and rates["c"] == (5, 0) and rates[""] == (1, 1)
+    assert rates["m"] == (6, 5) and rates["c"] == (5, 0) and rates[None] == (1, 1)
     assert truncation.found(spark, make_tables(documents=("doc_id long, text string, source string", []))).count() == 0
 
 
+def test_the_stack_reads_whole_texts(spark, make_tables):
+    """What stays open anywhere is evidence, unless the source's terminated texts leave it open too."""
+    open_ = {'He said "this is the end.': ['"'], "We (first sentence. Second sentence.": ["("], "An unclosed <b>tag here.": ["<b>"], "Run `a (b` and “c.": ["“"], "„Ja“, «no», »doch« (b) 1) <br> <i>x</i> \\( it's.": [],
+             "A\n```\n( \" <b>\n```\nDone.": [], "A\n```\nx": ["fence"], "(a [b) c.": [], "Say `x": ["`"], "「はい。": ["「"]}
+    for text, want in open_.items():
+        assert truncation.left_open(text) == want, text
+    rows = [(i, t, "a") for i, t in enumerate(open_)] + [(100 + i, "All is done here.", "a") for i in range(20)] + [(200 + i, f"Measure {i} is 5\" wide.", "inch") for i in range(9)]
+    rows += [(300 + i, f"first thing. and thing {i}", "plain") for i in range(9)] + [(400, "A whole text. It ends.", "plain"), (401, "No end. Of text", ""), (402, "Whole.", "")]
+    long = "The parser keeps all pending orders when the queue is empty. " * 9
+    rows += [(500 + i, long[:119] + "…", "m") for i in range(6)] + [(510, long, "m"), (511, "So it goes…", "m"), (600, "Done. " + "x" * 5000 + "\n\n-- \n" + "long " * 30 + "name", "s"), (601, "a\n\n-- \n" + "long " * 30 + "na", "s")]
+    rows += [(610 + i, "a\n\n-- \n" + "long " * 30 + "name", "s") for i in range(4)]
+    d = make_tables(documents=("doc_id long, text string, source string", rows))
+    got = {r.doc_id: r.reason for r in truncation.judged(truncation._docs(spark, d)).collect() if r.truncated}
+    assert got == {**{i: "open" for i, w in enumerate(open_.values()) if w}, 401: "terminator", 601: "signature", **{500 + i: "limit" for i in range(6)}}
+
+
 def test_unclosed_functions_take_linear_time():
     """A megabyte of functions that never close is read in seconds, each still found; masking changes nothing else."""
     import time
