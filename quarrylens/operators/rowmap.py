@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+T = TypeVar("T")
 #: Rows gathered before an output batch is sent on.
 OUT_ROWS = 4096
+#: Models a worker process keeps.
+KEPT = 8
+_KEPT: dict[Hashable, object] = {}
+
+
+def per_worker(key: Hashable, build: Callable[[], T]) -> T:
+    """What `build` gives, kept for further tasks of this worker process; `key` stands for all it depends on."""
+    if key not in _KEPT:
+        while len(_KEPT) >= KEPT:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[key] = build()
+    return _KEPT[key]
 
 
 def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | StructType, out_rows: int = OUT_ROWS) -> DataFrame:
