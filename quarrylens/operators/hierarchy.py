@@ -17,22 +17,30 @@ from pyspark.sql import functions as F
 from quarrylens.session import checkpointed
 
 
-def closure(edges: DataFrame, child: str, parent: str, steps: int = 32) -> DataFrame:
-    """(node, ancestor, depth) of every pair, depth at least 1; a node on a cycle is no ancestor of itself."""
-    exact = edges.where(F.col(child) != F.col(parent)).select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
+def closure(edges: DataFrame, child: str, parent: str, steps: int = 32, rank: str | None = None) -> DataFrame:
+    """(node, ancestor, depth) of every pair, depth at least 1; a node on a cycle is no ancestor of itself.
+
+    With the integer column `rank` of the edges, `rank` of a pair is the least, over its paths, of the greatest on the path.
+    """
+    r = F.lit(0) if rank is None else F.col(rank)
+    step = F.greatest("rank", "jump_rank").alias("rank")
+    exact = edges.where(F.col(child) != F.col(parent)).groupBy(F.col(child).alias("node"), F.col(parent).alias("ancestor")).agg(F.min(r).cast("int").alias("rank"))
     exact = checkpointed(exact)
-    pairs, n, length = exact.withColumn("depth", F.lit(1)), exact.count(), 1
+    pairs, length = exact.withColumn("depth", F.lit(1)), 1
+    size = F.struct(F.count("*").alias("n"), F.coalesce(F.sum("rank"), F.lit(0)).alias("r"))
+    n = exact.agg(size).first()[0]
     for _ in range(steps):
-        jump = exact.select(F.col("node").alias("mid"), F.col("ancestor").alias("far"))
+        jump = exact.select(F.col("node").alias("mid"), F.col("ancestor").alias("far"), F.col("rank").alias("jump_rank"))
         longer = (pairs.withColumnRenamed("ancestor", "mid").join(jump, "mid").where(F.col("node") != F.col("far"))
-                  .select("node", F.col("far").alias("ancestor"), (F.col("depth") + length).alias("depth")))
-        pairs = checkpointed(pairs.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        m = pairs.count()
+                  .select("node", F.col("far").alias("ancestor"), step, (F.col("depth") + length).alias("depth")))
+        pairs = checkpointed(pairs.unionByName(longer).groupBy("node", "ancestor").agg(F.min("rank").alias("rank"), F.min("depth").alias("depth")))
+        m = pairs.agg(size).first()[0]
         if m == n:
             break
-        exact = checkpointed(exact.withColumnRenamed("ancestor", "mid").join(jump, "mid").where(F.col("node") != F.col("far")).select("node", F.col("far").alias("ancestor")).distinct())
+        exact = checkpointed(exact.withColumnRenamed("ancestor", "mid").join(jump, "mid").where(F.col("node") != F.col("far"))
+                             .select("node", F.col("far").alias("ancestor"), step).groupBy("node", "ancestor").agg(F.min("rank").alias("rank")))
         n, length = m, 2 * length
-    return pairs
+    return pairs if rank else pairs.drop("rank")
 
 
 def nearest(pairs: DataFrame, flagged: DataFrame, key: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Cross-file analysis as relational work over facts (J1-J4, J10, J13, J16, J17, W1, 2.7).
 
-Facts are written once to the checkpoint folder, then every rule is a filter
-and a join. References are grouped before they meet the declarations, and the
-catalogue of the language comes as a literal table.
+Each project is a world of its own: names of symbols carry their project, so
+one repository never answers for another and every join is keyed by project
+and name. Facts are written once to the checkpoint folder, then every rule is a
+filter and a join. The language's own names are a literal table; references to
+them are taken out by a broadcast of that table before anything is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quarrylens.operators.hierarchy import closure
 from quarrylens.operators.php_tables import facts, php_files
@@ -21,26 +23,70 @@ from quarrylens.session import checkpointed
 SYMBOLS, MODEL, INVOCATION = "PHPStan.Level0.Symbols", "PHPStan.Level0.ClassModel", "PHPStan.Level0.Invocation"
 
 
+#: Stands between a project and a name.
+SEP = "\x1f"
+#: Kinds of facts whose `key`, and whose `alt`, name classes or functions.
+_SYMBOL_KEYS = ("decl_class", "decl_function", "edge", "ref_class", "new", "call", "subtype")
+_SYMBOL_ALTS = ("decl_method", "edge", "this_call", "static_call", "const_fetch", "decl_const", "this_property", "decl_property", "call")
+#: Ways to a parent in order of how little they hand down: a subclass is also bound by final, a trait's user is no subtype (fixed values).
+ROLES = {"extends": 0, "implements": 1, "uses": 2}
+
+
+def bare(name):
+    """The name without its project."""
+    return F.substring_index(name, SEP, -1)
+
+
+def scoped(rows: DataFrame) -> DataFrame:
+    """Facts with the project put before each name of a class or function."""
+    def put(c, kinds):
+        named = F.col("kind").isin(*kinds) if kinds else F.lit(True)
+        return F.when(named & F.col(c).isNotNull() & ~F.col(c).isin("self", "static", "parent"), F.concat("project", F.lit(SEP), c)).otherwise(F.col(c))
+
+    guard = (F.col("kind") == "guard") & F.col("name").isin("class_exists", "interface_exists", "function_exists")
+    alternatives = F.array_join(F.transform(F.split("alt", r"\|"), lambda v: F.concat(F.col("project"), F.lit(SEP), v)), "|")
+    return (rows.withColumn("cls", put("cls", ())).withColumn("key", F.when(guard, F.concat("project", F.lit(SEP), "key")).otherwise(put("key", _SYMBOL_KEYS)))
+            .withColumn("alt", F.when(F.col("kind") == "subtype", alternatives).otherwise(put("alt", _SYMBOL_ALTS))))
+
+
 class Index:
-    """The symbol catalogue of a corpus: declarations first to last, with the language's own."""
+    """The symbol catalogue of a corpus by project: declarations first to last, with the language's own."""
 
     def __init__(self, spark: SparkSession, rows: DataFrame, files: DataFrame):
-        self.spark, self.rows, self.files = spark, rows, files
-        own = rows.where("kind = 'decl_class' AND name IS NOT NULL").select("key", "name", F.col("extra").alias("kind"), "flags", "path", "line", F.lit(False).alias("builtin"))
-        native = spark.createDataFrame([(k.lower(), k, kind, None, None, None, True) for k, (kind, _) in CLASSES.items()], own.schema)
-        self.all_classes = own.unionByName(native)
+        self.spark, self.files = spark, files
+        self.rows = rows = checkpointed(scoped(rows))
+        own = rows.where("kind = 'decl_class' AND name IS NOT NULL").select("key", "name", F.col("extra").alias("kind"), "flags", "path", "line", "file_id", F.lit(False).alias("builtin"))
+        self.projects = rows.where("kind <> 'issue'").select("project").distinct()
+        native = self._native([(k.lower(), k, kind) for k, (kind, _) in CLASSES.items()], "key string, name string, kind string").select(
+            "key", "name", "kind", *(F.lit(None).cast(t).alias(c) for c, t in (("flags", "string"), ("path", "string"), ("line", "int"), ("file_id", "long"))), F.lit(True).alias("builtin"))
         # The language's class wins, then the first by path and line; later ones are duplicates.
-        order = F.struct(~F.col("builtin"), F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)))
-        self.classes = self.all_classes.groupBy("key").agg(F.min_by(F.struct("name", "kind", "flags", "path", "line", "builtin"), order).alias("c")).select("key", "c.*")
-        self.methods = rows.where("kind = 'decl_method'").groupBy(F.col("alt").alias("cls"), "key").agg(
-            F.max_by(F.struct("name", "low", "high", "flags", "extra"), F.struct("path", "line")).alias("m")).select("cls", "key", "m.*")
-        functions = rows.where("kind = 'decl_function'").groupBy("key").agg(F.max_by(F.struct("low", "high"), F.struct("path", "line")).alias("f")).select("key", "f.*")
-        self.functions = functions.unionByName(spark.createDataFrame([(k, a, b) for k, (a, b) in FUNCTIONS.items()], "key string, low int, high int")).groupBy("key").agg(
+        order = F.struct(~F.col("builtin"), F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)), F.coalesce("file_id", F.lit(0)))
+        self.classes = checkpointed(own.unionByName(native).groupBy("key").agg(
+            F.min_by(F.struct("name", "kind", "flags", "path", "line", "file_id", "builtin"), order).alias("c")).select("key", "c.*"))
+        # Members and parents are those of the declaration that won.
+        won = self.classes.where("NOT builtin").select(F.col("key").alias("cls"), "file_id")
+        self.methods = checkpointed(rows.where("kind = 'decl_method'").withColumnRenamed("cls", "inside").withColumnRenamed("alt", "cls").join(won, ["cls", "file_id"]).groupBy("cls", "key").agg(
+            F.min_by(F.struct("name", "low", "high", "flags", "extra"), F.struct("line")).alias("m")).select("cls", "key", "m.*"))
+        functions = rows.where("kind = 'decl_function'").groupBy("key").agg(F.min_by(F.struct("low", "high"), F.struct("path", "line")).alias("f")).select("key", "f.*")
+        self.functions = functions.unionByName(self._native([(k, a, b) for k, (a, b) in FUNCTIONS.items()], "key string, low int, high int")).groupBy("key").agg(
             F.min("low").alias("low"), F.when(F.min("high") < 0, -1).otherwise(F.max("high")).alias("high"))
-        edges = rows.where("kind = 'edge'").select("key", "alt", F.col("name").alias("role")).distinct()
-        native_edges = spark.createDataFrame([(k.lower(), p.lower(), "extends") for k, (_, p) in CLASSES.items() if p], "key string, alt string, role string")
-        self.edges = edges.unionByName(native_edges)
-        self.lineage = closure(self.edges, "key", "alt")
+        edges = rows.where("kind = 'edge'").join(won.withColumnRenamed("cls", "key"), ["key", "file_id"]).select("key", "alt", F.col("name").alias("role")).distinct()
+        native_edges = self._native([(k.lower(), p.lower()) for k, (_, p) in CLASSES.items() if p], "key string, alt string", "alt").withColumn("role", F.lit("extends"))
+        self.edges = edges.unionByName(native_edges).withColumn("rank", F.coalesce(*(F.when(F.col("role") == r, n) for r, n in ROLES.items()), F.lit(2)))
+        self.lineage = closure(self.edges, "key", "alt", rank="rank")
+
+    def _native(self, rows: list[tuple], schema: str, *more: str) -> DataFrame:
+        """Rows of the language's own catalogue, a copy for each project that has facts (so, a few hundred rows each)."""
+        names = [c.split()[0] for c in schema.split(", ")]
+        table = F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{', '.join(c.replace(' ', ': ') for c in schema.split(', '))}>>")
+        df = self.projects.select("project", F.explode(table).alias("t")).select("project", "t.*")
+        for c in ("key", *more):
+            df = df.withColumn(c, F.concat("project", F.lit(SEP), c))
+        return df.drop("project")
+
+    def guards(self, *functions: str) -> DataFrame:
+        """(file_id, key) of what a file asks for by one of `functions`."""
+        return self.rows.where((F.col("kind") == "guard") & F.col("name").isin(*functions)).select("file_id", "key").distinct()
 
     @cached_property
     def _open(self) -> DataFrame:
@@ -77,11 +123,10 @@ def unknown_classes(x: Index) -> DataFrame:
     """Class references that no declaration answers, not guarded in their file."""
     refs = x.rows.where("kind = 'ref_class' AND key NOT IN ('self', 'static', 'parent')")
     known = x.classes.select("key")
-    # A name also resolves to the language's class by its last part.
-    short = F.element_at(F.split("key", r"\\"), -1)
-    native = x.classes.where("builtin").select(F.col("key").alias("short"))
-    guards = x.rows.where("kind = 'guard' AND name IN ('class_exists', 'interface_exists')").select("file_id", "key").distinct()
-    bad = refs.join(known, "key", "left_anti").withColumn("short", short).join(native, "short", "left_anti").join(guards, ["file_id", "key"], "left_anti")
+    # A name also resolves to the language's class by its last part; the language's are a bounded list, so they go before the shuffle.
+    short = F.element_at(F.split(bare(F.col("key")), r"\\"), -1)
+    refs = refs.where(~short.isin(*(k.lower() for k in CLASSES)))
+    bad = refs.join(known, "key", "left_anti").join(x.guards("class_exists", "interface_exists"), ["file_id", "key"], "left_anti")
     return _issue(bad, SYMBOLS, F.concat(F.lit("Class "), "name", F.lit(" is not known ("), "extra", F.lit(")")))
 
 
@@ -89,7 +134,7 @@ def unknown_functions(x: Index) -> DataFrame:
     """Calls whose name is no function, neither globally nor in the namespace."""
     calls = x.rows.where("kind = 'call'")
     known = x.functions.select("key")
-    guards = x.rows.where("kind = 'guard' AND name = 'function_exists'").select("file_id", F.col("key").alias("alt")).distinct()
+    guards = x.guards("function_exists").withColumnRenamed("key", "alt")
     bad = calls.join(known, "key", "left_anti").join(known.withColumnRenamed("key", "alt"), "alt", "left_anti").join(guards, ["file_id", "alt"], "left_anti")
     return _issue(bad, SYMBOLS, F.concat(F.lit("Function "), "name", F.lit(" is not known")))
 
@@ -118,8 +163,8 @@ def this_calls(x: Index) -> DataFrame:
     calls = x.rows.where("kind = 'this_call'").select("file_id", "path", "line", "col", "name", "key", F.col("alt").alias("cls"), F.col("low").alias("n"), "flags")
     calls = calls.join(x.open_classes(), "cls", "left_anti").join(x.rows.where("kind = 'decl_class' AND extra <> 'trait'").select(F.col("key").alias("cls")).distinct(), "cls", "left_semi")
     m = x.members.select("cls", "key", F.col("low").alias("least"), F.col("high").alias("most"))
-    undefined = calls.join(m, ["cls", "key"], "left_anti")
-    return _issue(undefined, SYMBOLS, F.concat(F.lit("Method "), "name", F.lit(" is not defined in "), "cls")).unionByName(
+    undefined = calls.join(m, ["cls", "key"], "left_anti").join(x.guards("method_exists"), ["file_id", "key"], "left_anti")
+    return _issue(undefined, SYMBOLS, F.concat(F.lit("Method "), "name", F.lit(" is not defined in "), bare("cls"))).unionByName(
         _issue(_wrong_count(calls.join(m, ["cls", "key"])), INVOCATION, _count_message()))
 
 
@@ -129,13 +174,13 @@ def static_members(x: Index) -> DataFrame:
     known = x.classes.where("NOT builtin").select(F.col("key").alias("cls"))
     m = x.members.select("cls", "key")
     calls = x.rows.where("kind = 'static_call'").withColumn("owner", F.col("alt")).drop("cls").withColumnRenamed("alt", "cls")
-    bad = calls.join(known, "cls", "left_semi").join(hidden, "cls", "left_anti").join(m, ["cls", "key"], "left_anti")
+    bad = calls.join(known, "cls", "left_semi").join(hidden, "cls", "left_anti").join(m, ["cls", "key"], "left_anti").join(x.guards("method_exists"), ["file_id", "key"], "left_anti")
     consts = x.rows.where("kind = 'decl_const'").select("cls", "key", "name", "low", "high", "flags")
     c = x.lookup(consts).select("cls", "key")
     fetch = x.rows.where("kind = 'const_fetch'").drop("cls").withColumnRenamed("alt", "cls")
     missing = fetch.join(known, "cls", "left_semi").join(hidden, "cls", "left_anti").join(c, ["cls", "key"], "left_anti")
-    return _issue(bad, SYMBOLS, F.concat(F.lit("Static method "), "name", F.lit(" is not defined in "), "cls")).unionByName(
-        _issue(missing, SYMBOLS, F.concat(F.lit("Constant "), "name", F.lit(" is not defined in "), "cls")))
+    return _issue(bad, SYMBOLS, F.concat(F.lit("Static method "), "name", F.lit(" is not defined in "), bare("cls"))).unionByName(
+        _issue(missing, SYMBOLS, F.concat(F.lit("Constant "), "name", F.lit(" is not defined in "), bare("cls"))))
 
 
 def this_properties(x: Index) -> DataFrame:
@@ -144,14 +189,15 @@ def this_properties(x: Index) -> DataFrame:
     declared = x.rows.where("kind = 'decl_property'").select("cls", "key", "name", "low", "high", "flags")
     own = x.lookup(declared).select("cls", "key")
     bad = uses.join(x.open_classes(), "cls", "left_anti").join(own, ["cls", "key"], "left_anti").join(x.rows.where("kind = 'decl_class' AND extra = 'class'").select(F.col("key").alias("cls")).distinct(), "cls", "left_semi")
-    return _issue(bad, SYMBOLS, F.concat(F.lit("Property "), "name", F.lit(" is not defined in "), "cls"))
+    return _issue(bad, SYMBOLS, F.concat(F.lit("Property "), "name", F.lit(" is not defined in "), bare("cls")))
 
 
 def duplicates(x: Index) -> DataFrame:
-    """Second and later declarations of a class."""
-    w = W.partitionBy("key").orderBy("builtin_last", "path", "line", "file_id")
-    d = x.rows.where("kind = 'decl_class' AND name IS NOT NULL").withColumn("builtin_last", F.lit(0))
-    return _issue(d.withColumn("nth", F.row_number().over(w)).where("nth > 1"), MODEL, F.concat(F.lit("Class "), "name", F.lit(" is declared before")))
+    """Second and later declarations of a class in a project. The first comes from a hash aggregate, so a name with many copies is in no one task."""
+    d = x.rows.where("kind = 'decl_class' AND name IS NOT NULL")
+    place = F.struct("path", "line", "file_id", "col")
+    first = d.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return _issue(d.join(first, "key").where(place > F.col("first")), MODEL, F.concat(F.lit("Class "), "name", F.lit(" is declared before")))
 
 
 def heritage(x: Index) -> DataFrame:
@@ -165,15 +211,16 @@ def heritage(x: Index) -> DataFrame:
              .when((F.col("role") == "extends") & (F.col("own_kind") == "interface") & (F.col("target_kind") != "interface"), "is no interface to extend")
              .when((F.col("role") == "implements") & (F.col("target_kind") != "interface"), "is no interface")
              .when((F.col("role") == "uses") & (F.col("target_kind") != "trait"), "is no trait"))
-    return _issue(e.withColumn("wrong", wrong).where("wrong IS NOT NULL"), MODEL, F.concat("target", F.lit(" "), "wrong"))
+    return _issue(e.withColumn("wrong", wrong).where("wrong IS NOT NULL"), MODEL, F.concat(bare("target"), F.lit(" "), "wrong"))
 
 
 def final_overrides(x: Index) -> DataFrame:
-    """Methods that a final method of an ancestor forbids."""
+    """Methods that a final method of a parent class forbids; a used trait's methods may be replaced, private ones too but for constructors."""
     own = x.rows.where("kind = 'decl_method'").select("file_id", "path", "line", "col", "name", "key", F.col("alt").alias("cls"))
-    final = x.methods.where("concat(' ', flags, ' ') LIKE '% final %'").select(F.col("cls").alias("ancestor"), "key")
-    parents = x.lineage.withColumnRenamed("node", "cls")
-    return _issue(own.join(parents, "cls").join(final, ["ancestor", "key"]), MODEL, F.concat(F.lit("Method "), "name", F.lit(" is final in "), "ancestor"))
+    final = x.methods.where("concat(' ', flags, ' ') LIKE '% final %' AND (key = '__construct' OR concat(' ', flags, ' ') NOT LIKE '% private %')").select(F.col("cls").alias("ancestor"), "key")
+    parents = x.lineage.where(F.col("rank") == ROLES["extends"]).withColumnRenamed("node", "cls")
+    hit = own.join(parents, "cls").join(final, ["ancestor", "key"]).groupBy("file_id", "path", "line", "col", "name").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("ancestor"))
+    return _issue(hit, MODEL, F.concat(F.lit("Method "), "name", F.lit(" is final in "), bare("ancestor")))
 
 
 def required_methods(x: Index) -> DataFrame:
@@ -187,7 +234,7 @@ def required_methods(x: Index) -> DataFrame:
     inherited = have.withColumnRenamed("cls", "ancestor").join(x.lineage, "ancestor").select(F.col("node").alias("cls"), "method")
     have = have.unionByName(inherited).distinct().withColumnRenamed("cls", "key")
     missing = need.join(have, ["key", "method"], "left_anti").dropDuplicates(["file_id", "key", "method"])
-    return _issue(missing, MODEL, F.concat(F.lit("Method "), "name", F.lit(" is required by "), "ancestor"))
+    return _issue(missing, MODEL, F.concat(F.lit("Method "), "name", F.lit(" is required by "), bare("ancestor")))
 
 
 def instantiation(x: Index) -> DataFrame:
@@ -211,11 +258,11 @@ def static_to_instance(x: Index) -> DataFrame:
     m = x.members.where("NOT coalesce(concat(' ', flags, ' ') LIKE '% static %', false)").select(F.col("cls").alias("target"), "key")
     calls = x.rows.where("kind = 'static_call' AND alt <> 'parent'").select("file_id", "path", "line", "col", "name", "key", F.col("alt").alias("target"), F.col("cls").alias("caller"))
     bad = calls.where("coalesce(caller, '') <> target").join(m, ["target", "key"]).join(x.lineage.select(F.col("node").alias("caller"), F.col("ancestor").alias("target")), ["caller", "target"], "left_anti")
-    return _issue(bad, INVOCATION, F.concat(F.lit("Method "), "name", F.lit(" of "), "target", F.lit(" is not static")))
+    return _issue(bad, INVOCATION, F.concat(F.lit("Method "), "name", F.lit(" of "), bare("target"), F.lit(" is not static")))
 
 
 def missing_includes(x: Index) -> DataFrame:
-    """Written-out includes of files that the corpus does not have."""
+    """Written-out includes of files that the corpus does not have; a path starts with its project."""
     have = x.files.select(F.col("path").alias("key"))
     return _issue(x.rows.where("kind = 'include'").join(have, "key", "left_anti"), "PHPStan.Level0.Language", F.concat(F.lit("No file "), "name"))
 
@@ -224,7 +271,7 @@ def subtypes(x: Index) -> DataFrame:
     """Values of a class where another is declared, with no path between them; open hierarchies are let pass."""
     t = x.rows.where("kind = 'subtype'")
     t = t.join(x.open_classes().withColumnRenamed("cls", "key"), "key", "left_anti").join(x.classes.select("key"), "key", "left_semi")
-    t = t.withColumn("ancestor", F.explode(F.split("alt", r"\|"))).join(x.lineage.withColumnRenamed("node", "key"), ["key", "ancestor"], "left")
+    t = t.withColumn("ancestor", F.explode(F.split("alt", r"\|"))).join(x.lineage.where(F.col("rank") < ROLES["uses"]).withColumnRenamed("node", "key"), ["key", "ancestor"], "left")
     g = t.groupBy("file_id", "path", "line", "col", "name", "extra").agg(F.count("depth").alias("paths")).where("paths = 0")
     return g.select("file_id", F.col("path").alias("filename"), "line", "col", F.lit("ERROR").alias("type"), F.lit(False).alias("fixable"), F.col("name").alias("message"), F.col("extra").alias("code"))
 
@@ -237,9 +284,8 @@ LEVEL = {SYMBOLS: 0, MODEL: 0, INVOCATION: 0, "A.PROP.TYPE": 3, "A.RETURN.TYPE":
 def analyse(files: DataFrame, level: int | None = None, disabled: tuple[str, ...] = (), rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
     """All issues of a corpus (U1). `rules` chooses branches before anything runs; `disabled` drops codes."""
     spark = files.sparkSession
-    rows = checkpointed(facts(files))
-    local = rows.where("kind = 'issue'").select("file_id", F.col("path").alias("filename"), "line", "col", F.lit("ERROR").alias("type"), F.lit(False).alias("fixable"), F.col("name").alias("message"), F.col("key").alias("code"))
-    x = Index(spark, rows, files)
+    x = Index(spark, facts(files), files)
+    local = x.rows.where("kind = 'issue'").select("file_id", F.col("path").alias("filename"), "line", "col", F.lit("ERROR").alias("type"), F.lit(False).alias("fixable"), F.col("name").alias("message"), F.col("key").alias("code"))
     out = reduce(DataFrame.unionByName, [local, *(RULES[r](x) for r in rules)])
     if disabled:
         out = out.where(~F.col("code").isin(*disabled))
@@ -257,10 +303,10 @@ def php_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
 def php_class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes with their number of ancestors and of methods, inherited ones too."""
     files = php_files(spark, sf_dir)
-    x = Index(spark, checkpointed(facts(files)), files)
+    x = Index(spark, facts(files), files)
     depth = x.lineage.groupBy(F.col("node").alias("key")).agg(F.count("*").alias("ancestors"))
     m = x.members.groupBy(F.col("cls").alias("key")).agg(F.count("*").alias("methods"))
-    return x.classes.join(depth, "key", "left").join(m, "key", "left").select("key", "name", "kind", "builtin", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("methods", F.lit(0)).alias("methods"))
+    return x.classes.join(depth, "key", "left").join(m, "key", "left").select(F.substring_index("key", SEP, 1).alias("project"), bare("key").alias("key"), "name", "kind", "builtin", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("methods", F.lit(0)).alias("methods"))
 
 
 QUERIES = {"php_level0": php_level0, "php_class_index": php_class_index}

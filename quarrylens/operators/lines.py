@@ -16,10 +16,15 @@ from pyspark.sql.window import Window as W
 from quarrylens.sources.tables import table
 
 
-def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, path, content): one row a file that has content."""
-    df = table(spark, sf_dir, "php_files", "file_id", "path", "content").where(F.col("content").isNotNull())
-    return df.dropDuplicates(["file_id"])
+def is_php(path: str = "path") -> Column:
+    """Whether a path's extension is PHP's."""
+    return F.lower(path).rlike(r"\.(php|inc|phtml)$")
+
+
+def contents(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """(file_id, path, content, project): one row a file that has content; `only` takes files out before their text is shuffled."""
+    df = table(spark, sf_dir, "php_files", "file_id", "path", "content", F.col("case_id").alias("project")).where(F.col("content").isNotNull())
+    return (df if only is None else df.where(only)).dropDuplicates(["file_id"])
 
 
 def lines(files: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
@@ -99,7 +104,7 @@ def native_style(files: DataFrame) -> DataFrame:
 
 def style_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.8: the native rules over all PHP files."""
-    files = contents(spark, sf_dir).where(F.lower("path").rlike(r"\.(php|inc|phtml)$"))
+    files = contents(spark, sf_dir, is_php())
     return native_style(files)
 
 

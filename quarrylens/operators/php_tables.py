@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators.lines import contents, line_count
+from quarrylens.operators.lines import contents, is_php, line_count
 from quarrylens.operators.rowmap import flat_map
 from quarrylens.php import facts as php_facts
 from quarrylens.php.grammar import first_error
@@ -16,7 +16,7 @@ from quarrylens.session import spread
 
 def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose extension is PHP's, one row each."""
-    return contents(spark, sf_dir).where(F.lower("path").rlike(r"\.(php|inc|phtml)$"))
+    return contents(spark, sf_dir, is_php())
 
 
 def tokens(files: DataFrame) -> DataFrame:
@@ -70,16 +70,17 @@ def nodes(files: DataFrame, bodies: bool = True) -> DataFrame:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Declarations, references and local issues of files without grammar errors (F8)."""
+    """Declarations, references and local issues of files without grammar errors (F8), with the project of each file."""
 
     def make():
-        def rows(file_id, path, content):
+        def rows(file_id, path, project, content):
             found, error, _ = parse(content)
-            return php_facts.facts(file_id, path, content, found) if not error else ()
+            return ((*r, project) for r in php_facts.facts(file_id, path, content, found)) if not error else ()
 
         return rows
 
-    return flat_map(spread(files.select("file_id", "path", "content")), make, php_facts.SCHEMA)
+    project = F.coalesce("project", F.lit("")) if "project" in files.columns else F.lit("")
+    return flat_map(spread(files.select("file_id", "path", project.alias("project"), "content")), make, f"{php_facts.SCHEMA}, project string")
 
 
 def php_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,9 +105,42 @@ require __DIR__ . '/a.php';
 require_once 'gone.php';
 """,
     "broken.php": "<?php class X { public funtion y() {} }\n",
+    # Two projects with the same names: neither declares anything for the other.
+    "p/x.php": """<?php
+namespace Shared;
+class Twin extends Root {
+    public function run() { $this->onlyInQ(); $this->both(); if (method_exists($this, 'maybe')) { $this->maybe(); } }
+    public function both() {}
+    public final function lock() {}
+}
+trait Sealed { final public function go() {} private final function own() {} }
+class User { use Sealed; public function go() {} }
+class Root { final protected function kept() {} private final function mine() {} }
+class Low extends Twin { public function kept() {} public function mine() {} }
+only_in_q();
+""",
+    "q/x.php": """<?php
+namespace Shared;
+class Twin { public function onlyInQ() {} public function both() {} }
+function only_in_q() {}
+""",
+    "q/y.php": """<?php
+namespace Shared;
+class Twin { public function late() {} }
+""",
+    "q/z.php": """<?php
+namespace Shared;
+class Heir extends Twin { public function f() { $this->late(); $this->onlyInQ(); } }
+""",
 }
 #: Issues that the level-0 rules must give: (file, line, code, message).
 LEVEL0 = [
+    ('p/x.php', 4, 'PHPStan.Level0.Symbols', 'Method onlyInQ is not defined in shared\\twin'),
+    ('p/x.php', 11, 'PHPStan.Level0.ClassModel', 'Method kept is final in shared\\root'),
+    ('p/x.php', 12, 'PHPStan.Level0.Symbols', 'Function only_in_q is not known'),
+    ('p/x.php', 12, 'PSR1.Files.SideEffects', 'The file declares symbols and has side effects'),
+    ('q/y.php', 3, 'PHPStan.Level0.ClassModel', 'Class Twin is declared before'),
+    ('q/z.php', 3, 'PHPStan.Level0.Symbols', 'Method late is not defined in shared\\heir'),
     ('a.php', 16, 'PHPStan.Level0.Symbols', 'Constant NONE is not defined in app\\square'),
     ('a.php', 17, 'PHPStan.Level0.Symbols', 'Property label is not defined in app\\square'),
     ('a.php', 18, 'PHPStan.Level0.ClassModel', 'Method lock is final in app\\base'),
@@ -176,7 +209,8 @@ STYLE = [
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(SOURCES.items())], "file_id long, path string, content string")
+    rows = [(i, p, t, p.rpartition("/")[0]) for i, (p, t) in enumerate(SOURCES.items())]
+    return spark.createDataFrame(rows, "file_id long, path string, content string, project string")
 
 
 def php_level0_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,5 +241,5 @@ QUERIES = {f.__name__: f for f in (php_level0_fixture, php_style_fixture, php_co
 ORACLE = {
     "php_level0_fixture": _values(LEVEL0, "filename, line, code, message"),
     "php_style_fixture": _values(STYLE, "line, col, code"),
-    "php_compat_fixture": _values([("a.php", None), ("b.php", None), ("c.php", None), ("t.php", None), ("n.php", None), ("broken.php", 1)], "path, error_line"),
+    "php_compat_fixture": _values([("a.php", None), ("b.php", None), ("c.php", None), ("t.php", None), ("n.php", None), ("broken.php", 1), *((f, None) for f in ("p/x.php", "q/x.php", "q/y.php", "q/z.php"))], "path, error_line"),
 }
