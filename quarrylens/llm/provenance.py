@@ -1,10 +1,14 @@
 """Problem 3: generated, minified or vendored source files.
 
-No canonical text is emitted: for PHP and JavaScript the lines it would have (one
-per statement or block edge) are counted, strings blanked, and held against the
-lines there are; the other languages have no such count. Extreme expansion marks
-minified code, perfect uniformity (one line shape, or members counted through
-without a word of comment) generated code, dominance of literals bulk data.
+PHP and JavaScript are lexed and emitted again in canonical form: a statement or
+block edge a line, indented by depth. The layout as written is compared with
+it. Extreme expansion marks minified code; perfect uniformity (nearly every
+line as the canonical form has it, and lines of one shape, or members counted
+through without a word of comment) generated code; dominance of literals bulk
+data. The other languages have one value a line in either form, so there only
+shapes and literals are compared. Sentences in a file's first or last comment
+that say a tool wrote it are evidence where they speak of the file itself.
+
 Vendored copies show in the root namespace: each project has one of its own,
 and files under another root that several projects hold, or that lie in a
 third-party directory or call themselves part of a package, are copies.
@@ -42,10 +46,16 @@ BLOB = 512
 #: Directories that package managers and people use for third-party code (fixed values).
 THIRD_PARTY = frozenset("vendor vendors node_modules third_party third-party thirdparty bower_components external externals jspm_packages pods".split())
 
+#: What a file says of itself; each starts a sentence or clause.
 _MARKER = re.compile(
-    r"@generated\b|\bdo not (?:edit|modify|change|touch|alter)\b|\b(?:never|don't) (?:edit|modify|change)\b|\bauto-?\s?generated\b|\bautomatically generated\b"
-    r"|\bgenerated (?:by|from|with|using|automatically|code|file|class|on)\b|\bcode generated\b|\bchanges? (?:made here )?(?:will|would) be (?:lost|overwritten)\b"
-    r"|\b(?:built|created|produced|written|compiled) by (?:the |a |an )?(?:\w+ ){0,3}(?:compiler|generator|builder|tool)\b|\bedit the template\b", re.I)
+    r"""(?:^|[.;,!?]\s+|--?\s+|\|\s*)(?:
+    @generated\b
+  |(?:please\ )?(?:do\ not|don't|never)\ (?:edit|modify|change|touch|alter)(?:\s+(?:by\ hand|manually|directly|it\b|this\b|the\ (?:file|class|code|copy|source)\b|anything)|\W*$|[.!;,]|\s*--)
+  |(?:this\ (?:file|class|code|module|script|source)\b\s+)?(?:(?:is|was|has\ been)\s+)?(?:auto-?\s?generated|automatically\ generated|machine[-\ ]generated|generated\ (?:by|from|with|using|automatically|code|file|class|on)\b)
+  |(?:this\ )?code\ (?:is\ |was\ )?generated\b
+  |this\ (?:file|class|code|module|script|source)\ (?:is|was|has\ been)\ (?:built|created|produced|written|compiled)\ by\ (?:the\ |a\ |an\ )?(?:\w+\ ){0,3}(?:compiler|generator|builder|tool)\b
+  |(?:all\ |any\ |your\ |manual\ )?changes?\ (?:made\ here\ |to\ this\ file\ )?(?:will|would)\ be\ (?:lost|overwritten)\b
+  |edit\ the\ template\b)""", re.I | re.X)
 _PACKAGE = re.compile(r"\bthis file is part of the \S+ (?:package|library|framework|component)\b|^\s*!?\s*\S+ v?\d+\.\d[\d.]* \| ", re.I)
 _NAMESPACE = re.compile(r"^[ \t]*namespace[ \t]+([A-Za-z_\x80-\U0010ffff]\w*)", re.M)
 _TOKEN = re.compile(r"(?P<str>'[^'\\]*(?:\\.[^'\\]*)*'|\"[^\"\\]*(?:\\.[^\"\\]*)*\")|(?P<num>-?\b\d[\w.]*)|(?P<word>[^\W\d]\w*)|(?P<op>[^\w\s])", re.S)
@@ -72,17 +82,47 @@ def line_profile(line: str) -> tuple[str, int, int, int]:
     return "".join(out).replace("?t", "t"), n, chars, blob
 
 
-def canonical_lines(code: str) -> int:
-    """Lines of the code when every statement and every edge of a block stands on its own."""
-    n = depth = 0
-    for c in re.findall(r"[;{}()]", code):
-        if c == "(":
+def canonical(code: str) -> list[str]:
+    """Canonical lines of comment-free PHP or JavaScript: statements, list items of a sequence and block edges stand alone, indented by depth."""
+    out: list[str] = []
+    line: list[str] = []
+    depth = inside = 0
+
+    def end() -> None:
+        if line:
+            out.append("    " * max(0, depth) + "".join(line))
+            line.clear()
+
+    for m in _TOKEN.finditer(code):
+        t = m.group()
+        if t == "{" and not inside:
+            end()
+            out.append("    " * max(0, depth) + t)
             depth += 1
-        elif c == ")":
-            depth = max(0, depth - 1)
-        elif c != ";" or not depth:
-            n += 1
-    return n
+        elif t == "}" and not inside:
+            end()
+            depth -= 1
+            out.append("    " * max(0, depth) + t)
+        elif (t == ";" or t == ",") and not inside:
+            line.append(t)
+            end()
+        else:
+            if t in "([":
+                inside += 1
+            elif t in ")]":
+                inside = max(0, inside - 1)
+            line.append(t)
+    end()
+    return out
+
+
+def agreement(written: list[str], emitted: list[str]) -> float:
+    """Share of written lines that the canonical form has too, blanks and the place of braces aside."""
+    mine = Counter("".join(x.split()).strip("{}") for x in written)
+    theirs = Counter(x.strip(" {}") for x in emitted)
+    theirs = Counter({"".join(k.split()): n for k, n in theirs.items()})
+    mine.pop("", None)
+    return sum(min(n, theirs[k]) for k, n in mine.items()) / max(1, sum(mine.values()))
 
 
 def layout(path: str, content: str) -> tuple[str | None, str | None, bool, bool]:
@@ -99,8 +139,14 @@ def layout(path: str, content: str) -> tuple[str | None, str | None, bool, bool]
         i = b
     bare.append(content[i:])
     code = "".join(bare)
-    first_body = re.search(r"^[^\n]*\b(?:class|interface|trait|enum|function)\b[^\n]*", code, re.M)
-    limit = (content.find(first_body.group()) if first_body else len(content))
+    first_body = re.search(r"^[^\n]*\b(?:class|interface|trait|enum|function)\b", code, re.M)
+    limit = len(content)
+    if first_body:  # its place in the whole text: comments before it are put back
+        limit = first_body.start()
+        for _, a, b in comments:
+            if a > limit:
+                break
+            limit += b - a
     last = len(content.rstrip())
     for k, a, b in reversed(comments):  # a footer says as much as a header
         if b < last:
@@ -123,9 +169,8 @@ def layout(path: str, content: str) -> tuple[str | None, str | None, bool, bool]
     lines = [x for x in code.split("\n") if x.strip()]
     n_lines = max(1, len(lines))
     if lang in ("php", "js"):
-        stripped = re.sub(r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'|\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"", "''", code)
-        canonical = canonical_lines(stripped)
-        if canonical >= 20 and canonical / n_lines >= EXPANSION and max(map(len, lines)) > 200:
+        emitted = canonical(code)
+        if len(emitted) >= 20 and len(emitted) / n_lines >= EXPANSION and max(map(len, lines)) > 200:
             return "minified", root, package, by_dir
     profiles = [line_profile(x.strip().rstrip(",")) for x in lines]
     literals, literal_chars, blob = (sum(x[k] for x in profiles) for k in (1, 2, 3))
@@ -142,7 +187,7 @@ def layout(path: str, content: str) -> tuple[str | None, str | None, bool, bool]
             v = int(m[1])
             if v == expect:
                 run, expect = run + 1, expect + 1
-        if len(edge) == len(comments) and run >= COUNTED and len(shapes) <= 0.5 * n_lines:
+        if len(edge) == len(comments) and run >= COUNTED and len(shapes) <= 0.5 * n_lines and agreement(lines, emitted) >= UNIFORM:
             return "generated", root, package, by_dir
     return None, root, package, by_dir
 
@@ -157,6 +202,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_map(rows, make, "file_id long, project string, path string, verdict string, root string, package boolean, third_party boolean").dropDuplicates(["file_id"])
 
 
+def _below(parts):
+    """Parts of a path below the project's folder, however many."""
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, project, verdict) of every file; verdict null is hand-written source."""
     f = checkpointed(features(spark, sf_dir))
@@ -169,8 +219,8 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ignored = table(spark, sf_dir, "projects", "project", "ignore_dirs")
     f = f.join(ignored.dropDuplicates(["project"]), "project", "left")
     foreign = F.col("root").isNotNull() & (F.lower("root") != F.coalesce("own", F.lit("")))
-    in_ignored = F.coalesce(F.arrays_overlap(F.slice(F.split("path", "/"), 2, 64), F.col("ignore_dirs")), F.lit(False))
-    in_own_folder = F.array_contains(F.slice(F.split(F.lower("path"), "/"), 2, 64), F.lower("root"))  # deps/name/src of package name
+    in_ignored = F.coalesce(F.arrays_overlap(_below(F.split("path", "/")), F.col("ignore_dirs")), F.lit(False))
+    in_own_folder = F.array_contains(_below(F.split(F.lower("path"), "/")), F.lower("root"))  # deps/name/src of package name
     parts = F.split(F.lower("path"), "/")
     # name/ directly below a folder that is no source folder; then the root is foreign even where the project has no other file.
     package_folder = (F.size(parts) > 3) & (F.get(parts, F.lit(2)) == F.lower("root")) & ~F.get(parts, F.lit(1)).isin("src", "app", "lib", "libs", "source", "classes", "include", "test", "tests", "modules", "packages")

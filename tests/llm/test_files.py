@@ -147,3 +147,20 @@ def test_calibration():
     slope, offset = credentials.calibrate(z, y, np.ones(4000))
     assert abs(slope - 0.5) < 0.07 and abs(offset + 1) < 0.15
     assert credentials.calibrate(np.array([]), np.array([]), np.array([])) == (1.0, 0.0)
+
+
+def test_canonical_form():
+    code = "<?php class A{function f($a,$b){if($a){return g($a,';');}$x=[1,2];for($i=0;$i<3;$i++)h();}}"
+    want = ["<?phpclassA", "{", "functionf($a,$b)", "{", "if($a)", "{", "returng($a,';');", "}", "$x=[1,2];", "for($i=0;$i<3;$i++)h();", "}", "}"]
+    emitted = provenance.canonical(code)
+    assert [x.strip() for x in emitted] == want and emitted[6] == " " * 12 + "returng($a,';');"
+    assert provenance.canonical("") == [] and provenance.canonical("}}{") and provenance.agreement([], []) == 0
+    assert provenance.agreement(["if ($a) {", "    $b = 1;", "}"], provenance.canonical("if ($a) {\n    $b = 1;\n}")) == 1
+
+
+def test_only_what_a_file_says_of_itself_marks_it():
+    for text in ("Do not change the order of the handlers", "Reads the code generated by the report module.", "Renders the generated report.", "Values must not change."):
+        assert not provenance._MARKER.search(text), text
+    for text in ("@generated", "DO NOT EDIT.", "Code generated by rowc. DO NOT EDIT.", "Autogenerated file, edit the template.", "This class was built by the mapping compiler and any change will be lost.", "Built on release, never edit by hand."):
+        assert provenance._MARKER.search(text), text
+    assert provenance.layout("p/src/a.php", "<?php\n// keep class A\nclass A {}\nclass A {} // DO NOT EDIT\n$a = 1;\n")[0] is None
