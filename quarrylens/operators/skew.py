@@ -18,16 +18,30 @@ from quarrylens.sources.tables import table
 HEAVY_SHARE = 0.04
 
 
+_TOOLS = "tool IN ('style', 'analyse')"  # an enumeration of two
+
+
+def _keys(issues: DataFrame, *more: str) -> DataFrame:
+    """(tool, field, key_text, more...) of every non-null code and filename."""
+    fields = F.expr("inline(array(struct('code' AS field, code AS key_text), struct('filename' AS field, filename AS key_text)))")
+    return issues.where(_TOOLS).select("tool", *more, fields).where("key_text IS NOT NULL")
+
+
+def _weighed(keys: DataFrame, issues: DataFrame) -> DataFrame:
+    """`keys` with whether each holds HEAVY_SHARE of its tool's rows, null keys among them; the totals are one row a tool from a scan of that column."""
+    totals = issues.where(_TOOLS).groupBy("tool").agg(F.count("*").alias("tool_rows"))
+    return keys.join(totals, "tool").withColumn("heavy", F.col("rows") >= HEAVY_SHARE * F.col("tool_rows"))
+
+
+def heavy_keys(issues: DataFrame) -> DataFrame:
+    """(tool, field, key_text, rows, tool_rows, heavy): counts alone, so that only one row a key and task is shuffled."""
+    return _weighed(_keys(issues).groupBy("tool", "field", "key_text").agg(F.count("*").alias("rows")), issues)
+
+
 def per_key(issues: DataFrame) -> DataFrame:
     """(tool, field, key_text, rows, distinct_lines, tool_rows, heavy) of every non-null code and filename."""
-    fields = F.expr("inline(array(struct('code' AS field, code AS key_text), struct('filename' AS field, filename AS key_text)))")
-    lines = issues.select("tool", "line", fields).groupBy("tool", "field", "key_text", "line").agg(F.count("*").alias("n"))
-    keys = lines.groupBy("tool", "field", "key_text").agg(F.sum("n").alias("rows"), F.count("line").alias("distinct_lines"))
-    # One row per tool and field: the tools are an enumeration of two.
-    totals = keys.groupBy("tool", "field").agg(F.sum("rows").alias("tool_rows"))
-    keys = keys.where(F.col("key_text").isNotNull() & F.col("tool").isin("style", "analyse"))
-    return keys.join(totals.where(F.col("tool").isin("style", "analyse")), ["tool", "field"]).withColumn(
-        "heavy", F.col("rows") >= HEAVY_SHARE * F.col("tool_rows"))
+    lines = _keys(issues, "line").groupBy("tool", "field", "key_text", "line").agg(F.count("*").alias("n"))
+    return _weighed(lines.groupBy("tool", "field", "key_text").agg(F.sum("n").alias("rows"), F.count("line").alias("distinct_lines")), issues)
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -37,8 +51,8 @@ def _named(df: DataFrame) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names the heavy keys."""
-    issues = table(spark, sf_dir, "issues", "tool", "code", "filename", "line")
-    return _named(per_key(issues)).where("heavy").select("field_name", "key_text")
+    issues = table(spark, sf_dir, "issues", "tool", "code", "filename")
+    return _named(heavy_keys(issues)).where("heavy").select("field_name", "key_text")
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
