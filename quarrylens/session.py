@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,12 @@ def build_session(app: str = "quarrylens", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The shared folder of spark.checkpoint.dir; on one machine a temporary one where the session names none, on a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not folder:
+        if not re.match(r"local(?:\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "quarrylens-checkpoints")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
