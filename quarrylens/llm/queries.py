@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_rates": parse_check.rates,
         "p8_ids": encode.ids,
         "p9_containers": packing.containers,
+        "p9_mixture": packing.mixture,
         "p10_found": truncation.found,
         "p10_rates": truncation.rates,
     }

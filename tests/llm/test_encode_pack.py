@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarrylens.llm.encode import VOCABULARY, Encoder, ids
-from quarrylens.llm.packing import CAPACITY, best_fit, containers, pack, pieces, windows
+from quarrylens.llm.packing import CAPACITY, best_fit, containers, deficits, mixture, pack, pieces, windows
 
 DOCS = "doc_id long, text string, source string, ids string, queue int"
 
@@ -65,7 +65,7 @@ def test_best_fit_never_overfills(sizes):
 def test_packing_keeps_every_token_once_and_the_mixture(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([0, 3, 40, 90, 100, 250])) for i in range(800)]
-    got = pack(pieces(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), 100), 100, per_window=40, merge=4).collect()
+    got = pack(pieces(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), 100), 100, per_window=40).collect()
     by_container, by_doc = {}, {}
     for r in got:
         by_container.setdefault(r.container, []).append(r)
@@ -97,6 +97,39 @@ def test_every_window_holds_the_corpus_mixture(spark):
         assert all(abs(w[q] / sum(w.values()) - share[q]) < 0.06 for q in share)
 
 
+def test_deficits_are_carried_and_targets_held(spark):
+    """Round by round: a queue sends what its counter covers, and carries less than its next item's size on."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([3, 40, 90, 100])) for i in range(1500)]
+    items = pieces(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), 100)
+    served = windows(items, 100, per_window=40, targets={"a": 0.5, "b": 0.25}).collect()
+    for source, target in (("a", 0.5), ("b", 0.25), (None, 0.25)):
+        mine = [r for r in served if r.source == source]
+        counter, sent = 0.0, 0
+        for k in range(max(r.win for r in mine) + 1):
+            counter += mine[0].quantum
+            out = sum(r["size"] for r in mine if r.win == k)
+            counter -= out
+            assert 0 <= counter + 1e-6 and (counter < 100 + 1e-6 or k == max(r.win for r in mine)), (source, k)
+            sent += out
+        assert sent == sum(n for _, s, n in rows if s == source)
+    whole = [k for k in range(5) if all(any(r.win >= k and r.source == s for r in served) for s in ("a", "b", None))]
+    for k in whole[:3]:
+        n = sum(r["size"] for r in served if r.win == k)
+        assert abs(sum(r["size"] for r in served if r.win == k and r.source == "a") / n - 0.5) < 0.05
+    d = deficits(windows(items, 100, per_window=40)).collect()
+    assert all(-1e-6 <= r.deficit < 100 + 1e-6 for r in d)
+
+
+def test_final_containers_hold_the_mixture(spark, make_tables):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["word"] * rng.randrange(1, 400)), "en", rng.choice(["a", "a", "b", None]), 0) for i in range(900)]
+    d = make_tables(documents=(DOCS, [(i, t, s, l, n) for i, t, l, s, n in rows]))
+    got = mixture(spark, d).collect()
+    assert sum(r.n_tokens for r in got) > 0 and all(0 <= r.fill <= 1 and 0 <= r.deviation <= 0.6 for r in got)
+    assert mixture(spark, make_tables(documents=(DOCS, []))).count() == 0
+
+
 def test_containers_of_edge_cases(spark, make_tables):
     long = " ".join("word" for _ in range(2 * CAPACITY + 5))
     d = make_tables(documents=(DOCS, [(1, None, None, "x", 0), (2, "", "a", "x", 0), (3, long, "a", "x", 0), (4, "hi", "b", "x", 0)]))
