@@ -18,7 +18,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators.rowmap import flat_map
+from quarrylens.operators.rowmap import flat_map, per_worker
 from quarrylens.session import spread
 from quarrylens.sources.tables import table
 
@@ -124,7 +124,7 @@ def token_ids(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) of rows with doc_id and text."""
 
     def make():
-        encode = Encoder(path)
+        encode = per_worker(("encoder", path), lambda: Encoder(path))
         return lambda doc_id, text: ((doc_id, encode(text)),)
 
     return flat_map(spread(docs.select("doc_id", "text")), make, "doc_id long, ids array<int>", out_rows=256)
@@ -134,7 +134,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens) of rows with doc_id, source and text."""
 
     def make():
-        encode = Encoder(path)
+        encode = per_worker(("encoder", path), lambda: Encoder(path))
         return lambda doc_id, source, text: ((doc_id, source, encode.count(text)),)
 
     return flat_map(spread(docs.select("doc_id", "source", "text")), make, "doc_id long, source string, n_tokens long")
