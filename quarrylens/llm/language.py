@@ -120,8 +120,11 @@ class Subwords:
         return [i for part in _CAMEL.split(word) for i in self._encode(" " + part.lower())]
 
 
-def fit(texts: list[tuple[str, str]], code: list[str], subwords: Subwords) -> tuple[list[str], dict[int, int], np.ndarray]:
-    """Unigram log probabilities: (classes, row of each subword, rows x classes); the last row is for unseen subwords."""
+def fit(texts: list[tuple[str, str]], code: list[str], subwords: Subwords, priors: dict[str, float] | None = None) -> tuple[list[str], dict[int, int], np.ndarray, np.ndarray]:
+    """(classes, row of each subword, log probabilities as rows x classes, log priors); the last row is for unseen subwords.
+
+    `priors` counts the texts of each language; code gets as much as all of them together. Without it all classes are alike.
+    """
     tallies: dict[str, Counter] = {c: Counter() for c in (*LANGS, CODE)}
     for lang, text in texts:
         tallies[lang].update(_WORD.findall(_INLINE.sub(" ", _FENCE.sub(" ", text))))
@@ -145,14 +148,18 @@ def fit(texts: list[tuple[str, str]], code: list[str], subwords: Subwords) -> tu
             share[row[i], k] = n
     share /= share.sum(0)
     # What a class never shows costs every class the same, however much text it was fitted on.
-    return classes, row, np.log((1 - _FLOOR) * share + _FLOOR / subwords.size).astype(np.float32)
+    known = {c: (priors or {}).get(c, 0) + 1.0 for c in classes}
+    if priors:
+        known[CODE] = sum(n for c, n in known.items() if c != CODE)
+    prior = np.array([known[c] for c in classes])
+    return classes, row, np.log((1 - _FLOOR) * share + _FLOOR / subwords.size).astype(np.float32), np.log(prior / prior.sum()).astype(np.float32)
 
 
 class Identifier:
     """Most probable class of a piece of text."""
 
     def __init__(self, model: tuple[list[str], dict[int, int], np.ndarray], tokenizer: str):
-        self.classes, self.row, self.table = model
+        self.classes, self.row, self.table, self.prior = model
         self.subwords = Subwords(tokenizer)
         self.cache: dict[str, np.ndarray] = {}
         self.code = self.classes.index(CODE) if CODE in self.classes else -1
@@ -170,7 +177,7 @@ class Identifier:
         tokens = _TOKEN.findall(text)
         if not tokens:
             return CODE
-        vector, total = self.vector, 0
+        vector, total = self.vector, self.prior
         for w in tokens:
             total = total + vector(w)
         return self.classes[int(np.argmax(total))]
@@ -197,6 +204,7 @@ def natural(kind: str, raw: str, lang: str | None, identify: Identifier) -> str
 
 def fit_model(spark: SparkSession, sf_dir: str, tokenizer: str) -> tuple:
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text").where(F.lower("lang").isin(*LANGS)).withColumn("lang", F.lower("lang"))
+    priors = {r["lang"]: float(r["count"]) for r in docs.where(F.col("text").isNotNull()).groupBy("lang").count().collect()}  # a row a language
     keys = bounded_keys(docs.where(F.col("text").isNotNull()).select("doc_id", "lang"), "doc_id", "lang", SAMPLE)
     texts = [tuple(r) for r in docs.where(F.col("doc_id").isin(keys)).select("lang", "text").toLocalIterator()]
     texts += [("en", r[0]) for r in table(spark, sf_dir, "license_refs", "notice").where(F.col("notice").isNotNull()).toLocalIterator()]
@@ -211,7 +219,7 @@ def fit_model(spark: SparkSession, sf_dir: str, tokenizer: str) -> tuple:
             out.append(text[i:a])
             i = b
         code.append(" ".join([*out, text[i:]]))
-    return fit(texts, code, Subwords(tokenizer))
+    return fit(texts, code, Subwords(tokenizer), priors)
 
 
 def natural_pieces(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken") -> DataFrame:
