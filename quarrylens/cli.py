@@ -46,9 +46,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "ast":
         out = php_tables.nodes(files).join(files.select("file_id", "path"), "file_id").orderBy("path", "node_id")
     elif a.command == "compat":
-        out = php_tables.parse_errors(files)
+        out = php_tables.parse_report(files).orderBy("project")
     elif a.command == "analyse":
-        out = level0.analyse(files, level)
+        out = level0.analyse(files.drop("project"), level)  # one tree is one project
     elif a.command == "fix":
         out = style.fixed_files(files, style.issues(files, rules))
     else:
@@ -56,10 +56,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.output:
         (out.write.mode("errorifexists").json if a.command not in ("style",) else out.select("text").write.mode("errorifexists").text)(a.output)
     else:
+        headings = 0
         for r in out.toLocalIterator():
             print(r["text"] if "text" in out.columns else "\t".join(str(v) for v in r))
+            headings += a.command == "style" and r["line"] < 0
         if a.command == "style":
-            print(f"{out.count()} files with issues")
+            print(f"{headings} files with issues")
     return 0
 
 

@@ -19,6 +19,7 @@ from quarrylens.operators.hierarchy import closure
 from quarrylens.operators.php_tables import facts, php_files
 from quarrylens.php.builtins import CLASSES, FUNCTIONS
 from quarrylens.session import checkpointed
+from quarrylens.sources.tables import table
 
 SYMBOLS, MODEL, INVOCATION = "PHPStan.Level0.Symbols", "PHPStan.Level0.ClassModel", "PHPStan.Level0.Invocation"
 
@@ -295,9 +296,22 @@ def analyse(files: DataFrame, level: int | None = None, disabled: tuple[str, ...
     return out
 
 
+def at_levels(issues: DataFrame, levels: DataFrame) -> DataFrame:
+    """issues whose code runs at the level of their file, from rows (file_id, level); a null level runs all."""
+    needed = F.create_map(*[F.lit(v) for kv in LEVEL.items() for v in kv])[F.col("code")]
+    return issues.join(levels, "file_id", "left").where(F.col("level").isNull() | needed.isNull() | (needed <= F.col("level"))).drop("level")
+
+
+def file_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, level): the level given with a file, else that of its project; repeated rows count once."""
+    own = table(spark, sf_dir, "php_files", "file_id", "case_id", "level").groupBy("file_id").agg(F.max("case_id").alias("project"), F.max("level").alias("own"))
+    projects = table(spark, sf_dir, "projects", "project", "analysis_level").where("project IS NOT NULL").groupBy("project").agg(F.max("analysis_level").alias("analysis_level"))
+    return own.join(projects, "project", "left").select("file_id", F.coalesce("own", "analysis_level").alias("level"))
+
+
 def php_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.7: issues per file and code."""
-    return analyse(php_files(spark, sf_dir)).groupBy("filename", "code").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    """2.7: issues per file and code, each file at its level."""
+    return at_levels(analyse(php_files(spark, sf_dir)), file_levels(spark, sf_dir)).groupBy("filename", "code").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
 def php_class_index(spark: SparkSession, sf_dir: str) -> DataFrame:

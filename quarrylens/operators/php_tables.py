@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators.lines import contents, is_php, line_count
+from quarrylens.operators.lines import contents, is_php
 from quarrylens.operators.rowmap import flat_map
 from quarrylens.php import facts as php_facts
 from quarrylens.php.grammar import first_error
@@ -101,15 +101,31 @@ def php_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fn.join(owner, ["file_id", "parent_id"], "left").select("file_id", "class_name", "name", F.col("value").alias("return_type"), "attrs", "line")
 
 
-def php_parse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parse results of our own per project and overall, with the first failures."""
-    f = php_files(spark, sf_dir)
-    e = parse_errors(f).select("file_id", F.concat(F.lit("line "), "line", F.lit(":"), "col", F.lit(": "), "message").alias("error"))
-    r = f.select("file_id", "path", F.split("path", "/")[0].alias("project"), line_count(F.col("content")).alias("lines")).join(e, "file_id", "left")
+def parse_report(files: DataFrame) -> DataFrame:
+    """Parse results of `files` per project, with the first failure; each file is read and parsed once."""
+
+    def make():
+        def rows(file_id, path, project, content):
+            e = first_error(content)
+            lines = 0 if not content else content.count("\n") + (not content.endswith("\n"))
+            if e:
+                line, col = locate(content)(e[0])
+                yield path, project, lines, f"line {line}:{col}: {e[1]}"
+            else:
+                yield path, project, lines, None
+
+        return rows
+
+    r = flat_map(spread(files.select("file_id", "path", "project", "content")), make, "path string, project string, lines long, error string")
     g = r.groupBy("project").agg(F.count("*").alias("total_files"), F.count("error").alias("failing_files"), F.sum("lines").cast("bigint").alias("lines"),
                                  F.min_by("path", F.when(F.col("error").isNotNull(), F.col("path"))).alias("first_path"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("path"))).alias("first_error"))
     return g.withColumn("compatibility_pct", F.round(100.0 - 100.0 * F.col("failing_files") / F.col("total_files"), 4))
 
 
+def php_parse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse results of our own per project, with the first failures."""
+    return parse_report(php_files(spark, sf_dir).withColumn("project", F.split("path", "/")[0]))
+
+
 QUERIES = {f.__name__: f for f in (php_tokens, php_nodes, php_signatures, php_parse_report)}
 ORACLE: dict[str, str] = {}
