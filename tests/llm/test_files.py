@@ -164,3 +164,21 @@ def test_only_what_a_file_says_of_itself_marks_it():
     for text in ("@generated", "DO NOT EDIT.", "Code generated by rowc. DO NOT EDIT.", "Autogenerated file, edit the template.", "This class was built by the mapping compiler and any change will be lost.", "Built on release, never edit by hand."):
         assert provenance._MARKER.search(text), text
     assert provenance.layout("p/src/a.php", "<?php\n// keep class A\nclass A {}\nclass A {} // DO NOT EDIT\n$a = 1;\n")[0] is None
+
+
+def test_credentials_are_fitted_on_all_files(spark, file_tables, monkeypatch):
+    """Files beyond any sample, easy candidates and slices count, and a rescanned file once."""
+    monkeypatch.setattr(credentials, "SLICE", 6000)
+    rng = random.Random(3)
+    rows = [(i, "p", f"p/src/A{i % 50}/B{i}.php", f"<?php // reads rows{i}x\n$password = 'kA7{rng.randrange(10**6)}!xQ';" if i % 9 == 0 else "<?php // reads all rows\n") for i in range(9000)]
+    used = {credentials.bucket(x) for _, _, path, code in rows for x in credentials.path_features(path)} | {credentials.bucket(f"part {w}") for w in ("reads", "all", "rows", "php")}
+    rare = [w for w in (f"zz{a}{b}" for a in "abcdefgh" for b in "klmnopqr") if credentials.bucket(f"part {w}") not in used]
+    rows = [(i, p, path, code + f"// {rare[i // 150]}\n" if i % 150 == 1 else code) for i, p, path, code in rows]
+    model = credentials.fit_model(credentials.extracted(spark, file_tables([*rows, *rows[:200]])))
+    names = Counter(n for _, _, _, code in rows for n in credentials._ORDINARY.findall(code))
+    assert np.allclose(model.ordinary.log, credentials.Markov(names).log)
+    secrets = Counter(v for _, _, path, code in rows for v, words, kind in {c[2:] for c in credentials.candidates("php", code)} if credentials.pattern_label(v, words, kind) == 1)
+    assert len(secrets) == 1000 and np.allclose(model.secret.log, credentials.Markov(secrets).log)
+    assert all(credentials.bucket(f"part {w}") in model.weights for w in rare[:60])
+    detect = credentials.Detector(model)
+    assert [c[:3] for c in detect("p/src/A1/B1.php", "<?php\n$password = 'kA7031855!xQ';")] == [(19, 31, "literal")]
